@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import leakage, mixing, spans
+from lexmill.llm import leakage, mixing, neardup, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,9 @@ documents, benchmark, targets = table("documents"), table("benchmark"), table("m
 
 def queries() -> dict[str, Query]:
     return {
+        "p2_found": lambda s, d: neardup.found(web(s, d)),
+        "p2_groups": lambda s, d: neardup.groups(web(s, d)),
+        "p2_pairs": lambda s, d: neardup.pairs(web(s, d)),
         "p6_found": lambda s, d: leakage.found(documents(s, d), benchmark(s, d)),
         "p6_report": lambda s, d: leakage.leak_report(documents(s, d), benchmark(s, d)),
         "p6_items": lambda s, d: leakage.leaked_items(documents(s, d), benchmark(s, d)),
