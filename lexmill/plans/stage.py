@@ -28,3 +28,9 @@ def semi_join(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADC
     """Inner join of df with a cut frame of unique keys: broadcast if it has at most `limit` rows, else shuffled."""
     small = keys.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(keys) if small else keys.hint("shuffle_merge"), on)
+
+
+def anti_join(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of df without a row in a cut frame of keys, by the same rule."""
+    small = keys.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(keys) if small else keys.hint("shuffle_merge"), on, "left_anti")
