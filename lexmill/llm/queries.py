@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import leakage, mixing, neardup, spans
+from lexmill.llm import language, leakage, mixing, neardup, quality, residue, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,14 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: neardup.found(web(s, d)),
         "p2_groups": lambda s, d: neardup.groups(web(s, d)),
         "p2_pairs": lambda s, d: neardup.pairs(web(s, d)),
+        "p3_found": lambda s, d: language.found(web(s, d), labels(s, d)),
+        "p3_segments": lambda s, d: language.segments(web(s, d), labels(s, d)),
+        "p3_languages": lambda s, d: language.languages(web(s, d), labels(s, d)),
+        "p4_found": lambda s, d: quality.found(web(s, d), labels(s, d)),
+        "p4_statistics": lambda s, d: quality.measured(web(s, d), labels(s, d)),
+        "p5_found": lambda s, d: residue.found(web(s, d)),
+        "p5_scores": lambda s, d: residue.scored(web(s, d)),
+        "p5_clean": lambda s, d: residue.clean(web(s, d)),
         "p6_found": lambda s, d: leakage.found(documents(s, d), benchmark(s, d)),
         "p6_report": lambda s, d: leakage.leak_report(documents(s, d), benchmark(s, d)),
         "p6_items": lambda s, d: leakage.leaked_items(documents(s, d), benchmark(s, d)),
