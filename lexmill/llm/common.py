@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,13 @@ WORD = re.compile(r"[^\W_]+")
 CHARS = 1_000_000
 
 
+_ASCII = {c: " " for c in range(128) if not chr(c).isalnum()}
+
+
 def words_of(text: str) -> list[str]:
     """Maximal runs of letters and digits of the lower-cased text."""
+    if text.isascii():  # the same, several times faster
+        return text.lower().translate(_ASCII).split()
     return WORD.findall(text.lower())
 
 
@@ -78,7 +84,7 @@ def flat_hashes(lists: list[list[str]], memo: Hashes) -> tuple[np.ndarray, np.nd
     """Hashes of all words in one array, and where each list starts (one more at the end)."""
     lens = np.fromiter((len(x) for x in lists), np.int64, len(lists))
     starts = np.concatenate([[0], np.cumsum(lens)])
-    flat = np.fromiter((memo[w] for x in lists for w in x), np.uint64, int(starts[-1]))
+    flat = np.fromiter(map(memo.__getitem__, chain.from_iterable(lists)), np.uint64, int(starts[-1]))
     return flat, starts
 
 
