@@ -26,6 +26,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c computed once a row, however often f uses it (inside a lambda Spark would compute it anew for each element)."""
+    return F.element_at(F.transform(F.array(c), lambda x: f(x)), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
@@ -103,9 +108,8 @@ def code_line(s: Column) -> Column:
 
 
 def looks_like_code(c: Column) -> Column:
-    rows = lines(c)
-    hits = F.size(F.filter(rows, code_line))
-    return c.rlike(FENCE) | ((F.size(rows) > 0) & ((hits / F.greatest(F.size(rows), F.lit(1)) > 0.3) | (hits >= 5)))
+    sizes = let(lines(c), lambda rows: F.struct(F.size(rows).alias("n"), F.size(F.filter(rows, code_line)).alias("k")))
+    return c.rlike(FENCE) | let(sizes, lambda s: (s["n"] > 0) & ((s["k"] / F.greatest(s["n"], F.lit(1)) > 0.3) | (s["k"] >= 5)))
 
 
 def sanitize(c: Column) -> Column:
@@ -134,26 +138,31 @@ def longest_word(c: Column) -> Column:
 
 def max_ngram_repeats(c: Column, n: int = C.REPEAT_WORDS) -> Column:
     """How often the most frequent run of n words occurs; within the row, so without a shuffle."""
-    w = words(c)
-    runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n))))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(a: Column, x: Column) -> Column:
         run = F.when(x.eqNullSafe(a["last"]), a["run"] + 1).otherwise(F.lit(1))
         return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
 
-    return F.when(F.size(w) < n, F.lit(0)).otherwise(F.aggregate(runs, start, step, lambda a: a["best"]))
+    def most(w: Column) -> Column:
+        runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n))))
+        return F.when(F.size(w) < n, F.lit(0)).otherwise(F.aggregate(runs, start, step, lambda a: a["best"]))
+
+    return let(words(c), most)
 
 
 def char_grams(c: Column, n: int = C.OVERLAP_CHARS) -> Column:
-    """Distinct runs of n characters of the lower-cased, stripped text."""
-    s = strip(F.lower(c))
-    return F.when(F.length(s) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n)))).otherwise(F.array().cast("array<string>"))
+    """Hashes of the distinct runs of n characters of the lower-cased, stripped text. By an array of characters: substring would walk the text from its start each time."""
+
+    def grams(a: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.xxhash64(F.slice(a, i, n)))
+        return F.when(F.size(a) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.regexp_extract_all(strip(F.lower(c)), F.lit("(?s)."), F.lit(0)), grams)
 
 
 def type_token_ratio(c: Column, first: int = 200) -> Column:
-    w = F.slice(F.regexp_extract_all(F.lower(c), F.lit("[a-zA-Z]+"), F.lit(0)), 1, first)
-    return F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))
+    return let(F.slice(F.regexp_extract_all(F.lower(c), F.lit("[a-zA-Z]+"), F.lit(0)), 1, first), lambda w: F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)))
 
 
 def mean_line_length(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill import config as C
 from lexmill.functions import text as T
 from lexmill.functions.python import nfc
-from lexmill.plans.stage import cut, semi_join
+from lexmill.plans.stage import cut, left_join, semi_join
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -35,10 +35,11 @@ def char_overlap(df: DataFrame, items: DataFrame) -> DataFrame:
 
     Runs are compared by 64-bit hash. Texts under 13 characters have none and are clean.
     """
-    grams = lambda d, k: d.select(k, F.explode(F.transform(T.char_grams(T.text(F.col("text"))), F.xxhash64)).alias("g"))
-    index = cut(grams(items, "item_id").select("g").distinct())
-    matched = semi_join(grams(df, "doc_id"), index, ["g"]).groupBy("doc_id").agg(F.count("*").alias("m"))
-    size = df.select("doc_id", F.size(T.char_grams(T.text(F.col("text")))).cast("bigint").alias("n_grams"))
-    rows = size.join(matched, "doc_id", "left").withColumn("n_matched", F.coalesce("m", F.lit(0)).cast("bigint"))
+    grams = lambda d, k: d.select(k, T.char_grams(T.text(F.col("text"))).alias("gs"))
+    index = cut(grams(items, "item_id").select(F.explode("gs").alias("g")).distinct())
+    docs = grams(df, "doc_id").select("doc_id", F.explode_outer("gs").alias("g"))
+    # With a small index nothing is shuffled by run; the counts of a document are added up before they move.
+    hits = left_join(docs, index.withColumn("hit", F.lit(1)), ["g"])
+    rows = hits.groupBy("doc_id").agg(F.count("g").alias("n_grams"), F.coalesce(F.sum("hit"), F.lit(0)).cast("bigint").alias("n_matched"))
     ratio = T.share(F.col("n_matched"), F.col("n_grams"))
     return rows.select("doc_id", "n_grams", "n_matched", F.round(ratio, 6).alias("ratio"), (ratio > C.MAX_OVERLAP).alias("contaminated"))

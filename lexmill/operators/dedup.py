@@ -20,16 +20,22 @@ def exact_clusters(df: DataFrame) -> DataFrame:
 
 def shingle_hashes(c: Column, n: int = C.SHINGLE) -> Column:
     """Distinct 28-bit hashes of the runs of n lower-cased words; empty with fewer words."""
-    w = T.words(F.lower(T.text(c)))
-    one = lambda i: F.conv(F.substring(F.md5(F.array_join(F.slice(w, i, n), " ").cast("binary")), 1, 7), 16, 10).cast("long")
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), one))).otherwise(F.array().cast("array<bigint>"))
+
+    def hashes(w: Column) -> Column:
+        one = lambda i: F.conv(F.substring(F.md5(F.array_join(F.slice(w, i, n), " ").cast("binary")), 1, 7), 16, 10).cast("long")
+        every = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), one)
+        return F.when(F.size(w) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+    return T.let(T.words(F.lower(T.text(c))), hashes)
 
 
 def signatures(df: DataFrame) -> DataFrame:
     """(doc_id, sig): least value of each hash function; a document without shingles has EMPTY_HASH throughout. Row by row, no shuffle."""
-    s = df.select("doc_id", shingle_hashes(F.col("text")).alias("h"))
-    mins = [F.coalesce(F.array_min(F.transform("h", lambda x, a=a, b=b: (x * a + b) % C.PRIME)), F.lit(C.EMPTY_HASH)) for a, b in C.HASHES]
-    return s.select("doc_id", F.array(*mins).alias("sig"))
+
+    def least(h: Column, a: int, b: int) -> Column:
+        return F.coalesce(F.array_min(F.transform(h, lambda x: (x * a + b) % C.PRIME)), F.lit(C.EMPTY_HASH))
+
+    return df.select("doc_id", T.let(shingle_hashes(F.col("text")), lambda h: F.array(*(least(h, a, b) for a, b in C.HASHES))).alias("sig"))
 
 
 def buckets(sig: DataFrame) -> DataFrame:

@@ -30,6 +30,12 @@ def semi_join(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADC
     return df.join(F.broadcast(keys) if small else keys.hint("shuffle_merge"), on)
 
 
+def left_join(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join of df with a frame of unique keys that rests on a cut one, by the same rule."""
+    small = keys.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(keys) if small else keys.hint("shuffle_merge"), on, "left")
+
+
 def anti_join(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of df without a row in a cut frame of keys, by the same rule."""
     small = keys.limit(limit + 1).count() <= limit
