@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import language, leakage, mixing, neardup, quality, residue, spans
+from lexmill.llm import language, leakage, mixing, neardup, quality, residue, spans, subjects as subject_areas
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,15 @@ def table(name: str):
     return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet")
 
 
-web, labels, raters, subjects = table("openwebtext_10k"), table("detect_language_batch"), table("subject_labels"), table("subject_areas")
+web, labels, raters, areas = table("openwebtext_10k"), table("detect_language_batch"), table("subject_labels"), table("subject_areas")
 documents, benchmark, targets = table("documents"), table("benchmark"), table("mix_targets")
 
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda s, d: subject_areas.found(web(s, d), raters(s, d), areas(s, d), labels(s, d)),
+        "p1_subjects": lambda s, d: subject_areas.assigned(web(s, d), raters(s, d), areas(s, d), labels(s, d)),
+        "p1_composition": lambda s, d: subject_areas.composition(web(s, d), raters(s, d), areas(s, d), labels(s, d)),
         "p2_found": lambda s, d: neardup.found(web(s, d)),
         "p2_groups": lambda s, d: neardup.groups(web(s, d)),
         "p2_pairs": lambda s, d: neardup.pairs(web(s, d)),
