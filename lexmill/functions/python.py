@@ -7,15 +7,16 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC; null as empty."""
     return s.map(lambda t: "" if t is None else t if t.isascii() else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """All HTML entities."""
     return s.map(lambda t: t if t is None or "&" not in t else html.unescape(t))

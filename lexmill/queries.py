@@ -11,6 +11,7 @@ from lexmill import config as C
 from lexmill.functions import text as T
 from lexmill.functions.python import nfc
 from lexmill.operators import decontaminate, dedup, lm, packing, runs, sampling, signals, status, training
+from lexmill.plans import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -449,6 +450,18 @@ def _(spark, d):
     return packing.tokenize(table(spark, d, "documents")).select("doc_id", "n_tokens")
 
 
+@add("curation_pipeline")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", F.lower(F.trim("source")).alias("topic"))
+    return pipeline.curate(docs, table(spark, d, "benchmark"), topic="topic").select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@add("curated_tokens")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return pipeline.tokens(pipeline.curate(docs, table(spark, d, "benchmark"))).select("doc_id", "n_tokens")
+
+
 # ---- signals ---------------------------------------------------------------------------------------------------------
 def s_describe(x):
     ps = ", ".join(f"round(quantile_cont(x, {p}), 6) {n}" for p, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")))
