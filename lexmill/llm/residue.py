@@ -8,8 +8,8 @@ Two models of the same kind work on two kinds of units:
 
 Trusted are the passages of records of whose letters more than TRUST stand in passages with a sign (SIGNS), and unquoted
 marks of three template languages. All other units are unlabelled: they start as content, and each round gives every
-unlabelled unit its probability of being residue and refits both classes with it, while trusted units stay residue. The fit uses at most SAMPLE records with a sign, as many
-with a mark, and as many of all, in the order of a hash; scoring covers all records.
+unlabelled unit its probability of being residue and refits both classes with it, while trusted units stay residue. The fit looks at about POOL records, those of least hash,
+and uses at most SAMPLE of them with a sign, as many with a mark, and as many of all; scoring covers all records.
 
 A record is residue if a slot stands in it bare, or if residue passages hold more than half of its letters. Numbers
 and trace codes count for neither side. Null, empty and blank texts are none.
@@ -45,7 +45,7 @@ HINT = re.compile(r"[{}\[\]@%$#<>]|__|XXX|&lt;|undefined|NaN")
 TRUSTED = ("{{a}}", "${a}", "<%a%>", "{9}")
 QUOTES = "\"'`“”„«»‘’‹›"
 
-SAMPLE, ROUNDS, COMMON, TRUST, PRIOR, SLOT_PRIOR = 1500, 8, 400, 0.25, 0.03, 0.5
+POOL, SAMPLE, ROUNDS, COMMON, TRUST, PRIOR, SLOT_PRIOR = 20_000, 1500, 8, 400, 0.25, 0.03, 0.5
 HEX = re.compile(r"[a-f]{2,}")
 TOKEN = re.compile(r"[^\W_]+|[.!?…:](?=\s+[^\W\d_])|\n")
 SPLIT = re.compile(r"(?<=[.!?…:])\s+(?=[^\W\d_])|\n")
@@ -189,8 +189,11 @@ class Scorer:
 
 
 def train(records: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """Scorer from at most `sample` records with a sign, with a mark, and of all."""
+    """Scorer from at most `sample` records with a sign, with a mark, and of all, of a pool of about POOL records."""
     texts = records.select("row_id", "text").where(F.col("text").isNotNull() & (F.length("text") > 0))
+    n = records.count()
+    if n > POOL:
+        texts = texts.where(F.xxhash64("row_id") < int(-(2**63) + 2**64 * POOL / n))
     order = [F.xxhash64("row_id"), F.col("row_id"), F.col("text")]
 
     def some(df):
