@@ -46,5 +46,26 @@ def queries() -> dict[str, Query]:
     }
 
 
+_WORDS = "list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+def _runs(table: str, key: str, n: int, least: int) -> str:
+    w = _WORDS.format("text")
+    return (
+        f"(select distinct {key}, array_to_string(w[i:i+{n - 1}], ' ') g from (select {key}, {w} w from {table} where text is not null) x, lateral (select unnest(range(1, len(x.w) - {n - 2})) i) where len(w) >= {least})"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say it over whole tables: plain set and window statements, none of the operators' methods."""
+    return {
+        "p2_found": f"""with s as materialized {_runs("openwebtext_10k", "row_id", 3, 30)}, n as (select row_id, count(*) n from s group by 1),
+ o as (select a.row_id x, b.row_id y, count(*) k from s a join s b on a.g = b.g and a.row_id < b.row_id group by 1, 2)
+ select x row_id_a, y row_id_b from o join n p on p.row_id = x join n q on q.row_id = y where 2 * k >= least(p.n, q.n)""",
+        "p6_found": f"select distinct doc_id, item_id from {_runs('documents', 'doc_id', 12, 12)} join {_runs('benchmark', 'item_id', 12, 12)} using (g)",
+        "p8_found": """with w as materialized (select doc_id, i - 1 s, md5(text[i:i+399]) h from documents, lateral (select unnest(range(1, length(text) - 398)) i)),
+ k as (select distinct doc_id, s from w where h in (select h from w group by h having min(doc_id) <> max(doc_id))),
+ n as (select *, case when s <= lag(s) over (partition by doc_id order by s) + 400 then 0 else 1 end first from k),
+ r as (select *, sum(first) over (partition by doc_id order by s) part from n)
+ select doc_id, min(s) span_start, max(s) + 400 span_end from r group by doc_id, part""",
+    }
