@@ -24,9 +24,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def semi_join(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join of df with a cut frame of unique keys: broadcast if it has at most `limit` rows, else shuffled."""
-    small = keys.limit(limit + 1).count() <= limit
+def semi_join(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_ROWS, weight: str = "1") -> DataFrame:
+    """Inner join of df with a cut frame of unique keys: broadcast if it has at most `limit` rows, else shuffled.
+
+    Rows that hold more than a value or two give their number of values by the SQL expression `weight`.
+    """
+    small = (keys.selectExpr(f"sum({weight}) n").first().n or 0) <= limit
     return df.join(F.broadcast(keys) if small else keys.hint("shuffle_merge"), on)
 
 
