@@ -153,7 +153,7 @@ def merge(a: np.ndarray, b: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.nd
 
 def window_rows(documents: DataFrame, places: DataFrame, least: int, schema: str, make_rows) -> DataFrame:
     """make_rows(chars, raw, starts, k, places of text k) -> {column: values} over the documents in places."""
-    joined = semi_join(documents.select("doc_id", "text"), places, ["doc_id"])
+    joined = semi_join(documents.select("doc_id", "text"), places, ["doc_id"], weight="size(places)")
 
     def make():
         def f(ids, where, texts):
