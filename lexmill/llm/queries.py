@@ -32,9 +32,9 @@ def queries() -> dict[str, Query]:
         "p3_languages": lambda s, d: language.languages(web(s, d), labels(s, d)),
         "p4_found": lambda s, d: quality.found(web(s, d), labels(s, d)),
         "p4_statistics": lambda s, d: quality.measured(web(s, d), labels(s, d)),
-        "p5_found": lambda s, d: residue.found(web(s, d)),
-        "p5_scores": lambda s, d: residue.scored(web(s, d)),
-        "p5_clean": lambda s, d: residue.clean(web(s, d)),
+        "p5_found": lambda s, d: residue.found(web(s, d), labels(s, d)),
+        "p5_scores": lambda s, d: residue.scored(web(s, d), labels(s, d)),
+        "p5_clean": lambda s, d: residue.clean(web(s, d), labels(s, d)),
         "p6_found": lambda s, d: leakage.found(documents(s, d), benchmark(s, d)),
         "p6_report": lambda s, d: leakage.leak_report(documents(s, d), benchmark(s, d)),
         "p6_items": lambda s, d: leakage.leaked_items(documents(s, d), benchmark(s, d)),

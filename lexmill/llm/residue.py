@@ -2,14 +2,17 @@
 
 Two models of the same kind work on two kinds of units:
 
-* passages (sentences and lines), as bags of words, for filler, error messages and script notices; the COMMON most
-  frequent words of all records are left out, as they tell languages apart and not contents;
-* slots (marks such as {{name}} or [Your name here]), as bags of their shape, inner words, quotes and neighbours.
-
-Trusted are the passages of records of whose letters more than TRUST stand in passages with a sign (SIGNS), and unquoted
-marks of three template languages. All other units are unlabelled: they start as content, and each round gives every
-unlabelled unit its probability of being residue and refits both classes with it, while trusted units stay residue. The fit looks at about POOL records, those of least hash,
-and uses at most SAMPLE of them with a sign, as many with a mark, and as many of all; scoring covers all records.
+* passages (sentences and lines), as bags of words, for filler, error messages and script notices; content of
+  each language is weighted as if that language were as frequent in it as in residue, so that words don't count for their
+  language, and the COMMON most frequent words (at most a twentieth of all) are left out;
+* slots (marks such as {{name}} or [Your name here]), as bags of their shape, inner words and neighbours; a mark
+  in quotes or code ticks is talked about and is none.
+
+Trusted are the passages of records of whose letters more than TRUST stand in passages with a sign (SIGNS), and marks of
+well-known shapes (TRUSTED). All other units are unlabelled: passages start as content, marks undecided, and each round
+gives every unlabelled unit its probability of being residue and refits both classes with it, while trusted units stay
+residue. The fit looks at about POOL records, those of least hash, and uses at most SAMPLE of them with a sign, as many
+with a mark, and as many of all; scoring covers all records.
 
 A record is residue if a slot stands in it bare, or if residue passages hold more than half of its letters. Numbers
 and trace codes count for neither side. Null, empty and blank texts are none.
@@ -24,6 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm import language
 from lexmill.llm.common import map_texts
 
 # Signs of error pages, script notices and filler text.
@@ -42,10 +46,10 @@ SLOT = re.compile(
 )
 #: Characters one of which every slot holds; most texts hold none.
 HINT = re.compile(r"[{}\[\]@%$#<>]|__|XXX|&lt;|undefined|NaN")
-TRUSTED = ("{{a}}", "${a}", "<%a%>", "{9}")
+TRUSTED = ("{{a}}", "${a}", "<%a%>", "{9}", "[your]", "[insert]", "[object]")
 QUOTES = "\"'`“”„«»‘’‹›"
 
-POOL, SAMPLE, ROUNDS, COMMON, TRUST, PRIOR, SLOT_PRIOR = 20_000, 1500, 8, 400, 0.25, 0.03, 0.5
+POOL, SAMPLE, ROUNDS, COMMON, TRUST, PRIOR, SLOT_PRIOR = 20_000, 1500, 8, 200, 0.25, 0.03, 0.5
 HEX = re.compile(r"[a-f]{2,}")
 TOKEN = re.compile(r"[^\W_]+|[.!?…:](?=\s+[^\W\d_])|\n")
 SPLIT = re.compile(r"(?<=[.!?…:])\s+(?=[^\W\d_])|\n")
@@ -70,7 +74,7 @@ def plain(word: str) -> str:
 
 
 def slots(text: str) -> list[tuple[str, ...]]:
-    """Feature sets of the text's slots; the first feature is the shape."""
+    """Features of the text's slots outside quotes; the first one is the shape."""
     out = []
     if not HINT.search(text):
         return out
@@ -83,10 +87,8 @@ def slots(text: str) -> list[tuple[str, ...]]:
         left = re.findall(r"[^\W_]+", text[max(0, a - 40) : a].lower())[-2:]
         right = re.findall(r"[^\W_]+", text[b : b + 40].lower())[:2]
         inner = re.findall(r"[A-Za-z]+", s.replace("_", " ").lower())
-        if quoted:  # talked about; tells nothing about marks that stand for a value
-            out.append((shape, "quoted"))
-        else:
-            out.append((shape if shape != "[a]" else f"[{inner[0]}]", "bare", *(f"in:{w}" for w in inner), *(f"l:{w}" for w in left), *(f"r:{w}" for w in right)))
+        if not quoted:  # in quotes it is talked about and stands for no value
+            out.append((shape if shape != "[a]" else f"[{inner[0]}]", *(f"in:{w}" for w in inner), *(f"l:{w}" for w in left), *(f"r:{w}" for w in right)))
     return out
 
 
@@ -101,8 +103,8 @@ class Bayes:
         return self.prior + sum(get(f, 0.0) for f in features)
 
 
-def fit(trusted: list, unlabelled: list, rounds: int = ROUNDS, least: int = 2, alpha: float = 0.5, cap: float = 4.0, skip=frozenset(), prior: float = PRIOR) -> Bayes:
-    """Positive-unlabelled naive Bayes by EM; units are lists of features."""
+def fit(trusted: list, unlabelled: list, rounds: int = ROUNDS, least: int = 2, mass: float | None = 300.0, alpha: float = 0.5, cap: float = 4.0, skip=frozenset(), prior: float = PRIOR, start: float = 0.0, groups: tuple | None = None) -> Bayes:
+    """Positive-unlabelled naive Bayes by EM; units are lists of features. groups: numbers of the trusted and of the other units' groups, whose mix is made equal in both classes."""
     seen = Counter(f for u in trusted + unlabelled for f in set(u))
     vocab = [f for f, n in seen.items() if n >= least and f not in skip]
     at = {f: k for k, f in enumerate(vocab)}
@@ -117,12 +119,22 @@ def fit(trusted: list, unlabelled: list, rounds: int = ROUNDS, least: int = 2, a
     uf, uo = matrix(unlabelled)
     fixed = np.bincount(pf, minlength=v).astype(float)
     n_u = len(unlabelled)
-    p = np.zeros(n_u)
+    gt, gu = (np.array(g, np.int64) for g in groups or ([0] * len(trusted), [0] * n_u))
+    n_g = int(max(gt.max(initial=0), gu.max(initial=0))) + 1
+    size_t, size_u = (np.array([len(u) for u in us], float) for us in (trusted, unlabelled))
+    p = np.full(n_u, start)
     odds, prior = np.zeros(v), float(np.log(prior / (1 - prior)))
     for _ in range(rounds):
         pos = fixed + np.bincount(uf, weights=p[uo], minlength=v)
-        neg = np.bincount(uf, weights=1 - p[uo], minlength=v)
-        odds = np.log((pos + alpha) / (pos.sum() + alpha * v)) - np.log((neg + alpha) / (neg.sum() + alpha * v))
+        in_pos = np.bincount(gt, size_t, n_g) + np.bincount(gu, size_u * p, n_g)
+        in_neg = np.bincount(gu, size_u * (1 - p), n_g)
+        even = ((in_pos + 1) / (in_pos.sum() + n_g) / ((in_neg + 1) / (in_neg.sum() + n_g))).clip(0.05, 20)
+        neg = np.bincount(uf, weights=((1 - p) * even[gu])[uo], minlength=v)
+        if mass is None:
+            extra, whole = alpha, alpha * v
+        else:  # smoothed towards the mean of both classes, so that what residue lacks never speaks for it
+            extra, whole = mass * np.maximum((pos / max(pos.sum(), 1e-9) + neg / max(neg.sum(), 1e-9)) / 2, 1e-9), mass
+        odds = np.log((pos + extra) / (pos.sum() + whole)) - np.log((neg + extra) / (neg.sum() + whole))
         odds = odds.clip(-cap, cap)
         s = prior + np.bincount(uo, weights=odds[uf], minlength=n_u)
         p = 1 / (1 + np.exp(-s.clip(-30, 30)))
@@ -188,8 +200,8 @@ class Scorer:
         return share, slot
 
 
-def train(records: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """Scorer from at most `sample` records with a sign, with a mark, and of all, of a pool of about POOL records."""
+def train(records: DataFrame, labeller: language.Labeller, sample: int = SAMPLE) -> Scorer:
+    """Scorer from at most `sample` records with a sign, with a mark, and of all, of a pool of about POOL records; labeller tells languages."""
     texts = records.select("row_id", "text").where(F.col("text").isNotNull() & (F.length("text") > 0))
     n = records.count()
     if n > POOL:
@@ -204,23 +216,28 @@ def train(records: DataFrame, sample: int = SAMPLE) -> Scorer:
     plain_ = some(texts)
     trusted, rest, common = [], [], Counter()
     for t in dict.fromkeys(signed + plain_):
-        parts = [(bool(SIGN_RE.search(p)), [w for u in units(p) for w in u]) for p in SPLIT.split(t)]
-        letters = [sum(len(w) for w in us if w[0] != "#") for _, us in parts]
-        sure_ = sum(n for (sign, _), n in zip(parts, letters) if sign) > TRUST * sum(letters)
-        (trusted if sure_ else rest).extend(us for _, us in parts if us)
+        parts = [(bool(SIGN_RE.search(p)), [w for u in units(p) for w in u], p) for p in SPLIT.split(t)]
+        letters = [sum(len(w) for w in us if w[0] != "#") for _, us, _ in parts]
+        sure_ = sum(n for (sign, _, _), n in zip(parts, letters) if sign) > TRUST * sum(letters)
+        (trusted if sure_ else rest).extend((us, p) for _, us, p in parts if us)
         if not sure_:
-            common.update(w for _, us in parts for w in us)
+            common.update(w for _, us, _ in parts for w in us)
+
+    def langs(us):
+        return [max(((n, c) for c, _, n, _ in ss), default=(0, 0))[1] for ss in labeller.label([p for _, p in us])]
+
     sure, open_ = [], []
     for t in dict.fromkeys(marked + plain_):
         for s in slots(t):
-            (sure if s[0] in TRUSTED and s[1] == "bare" else open_).append(s)
-    skip = frozenset(w for w, _ in common.most_common(COMMON))
-    return Scorer(fit(trusted, rest, skip=skip), fit(sure, open_, least=1, prior=SLOT_PRIOR))
+            (sure if s[0] in TRUSTED else open_).append(s)
+    skip = frozenset(w for w, _ in common.most_common(min(COMMON, len(common) // 20)))
+    groups = (langs(trusted), langs(rest))
+    return Scorer(fit([u for u, _ in trusted], [u for u, _ in rest], skip=skip, groups=groups), fit(sure, open_, least=1, mass=None, prior=SLOT_PRIOR, start=0.5))
 
 
-def scored(records: DataFrame, scorer: Scorer | None = None) -> DataFrame:
-    """(row_id, residue_share, slot_score, residue) for each record with a text; slot_score is null without slots."""
-    shared = records.sparkSession.sparkContext.broadcast(scorer or train(records))
+def scored(records: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row_id, residue_share, slot_score, residue) for each record with a text; slot_score is null without slots. labels: delivered language labels."""
+    shared = records.sparkSession.sparkContext.broadcast(train(records, language.Labeller(language.train(records, labels))))
 
     def make():
         sc = shared.value
@@ -239,12 +256,12 @@ def scored(records: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     return map_texts(records, "row_id bigint, residue_share double, slot_score double, residue boolean", make, "row_id", "text")
 
 
-def found(records: DataFrame) -> DataFrame:
+def found(records: DataFrame, labels: DataFrame) -> DataFrame:
     """row_id of the records to exclude."""
-    return scored(records).where("residue").select("row_id").distinct()
+    return scored(records, labels).where("residue").select("row_id").distinct()
 
 
-def clean(records: DataFrame) -> DataFrame:
+def clean(records: DataFrame, labels: DataFrame) -> DataFrame:
     """The records without residue, null texts kept out; (row_id, n_chars)."""
-    bad = scored(records).where("residue").select("row_id").distinct()
+    bad = scored(records, labels).where("residue").select("row_id").distinct()
     return records.where(F.col("text").isNotNull()).select("row_id", F.length("text").alias("n_chars")).join(bad, "row_id", "left_anti")

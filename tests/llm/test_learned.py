@@ -94,7 +94,7 @@ ERRORS = ["Error 404: the page could not be found. Go back to the front page.",
 
 
 def test_residue(spark, tables):
-    rows, *_ = tables
+    rows, _, labels, *_ = tables
     r = random.Random(4)
     bad, good = [], []
     for k in range(60):
@@ -105,11 +105,11 @@ def test_residue(spark, tables):
         good.append((8000 + k, " ".join(body + [r.choice(ERRORS)])))
     all_ = [(k, t) for k, t, *_ in rows] + bad + good + [(9000, None), (9001, ""), (9002, FILLER), (6000, bad[1][1])]
     records = spark.createDataFrame(all_, "row_id bigint, text string")
-    got = {x.row_id for x in residue.found(records).collect()}
+    got = {x.row_id for x in residue.found(records, labels).collect()}
     want = {k for k, _ in bad} | {9002}
     assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 2
-    assert residue.clean(records).where("row_id = 9000").count() == 0
-    assert residue.found(records.limit(0)).count() == 0
+    assert residue.clean(records, labels).where("row_id = 9000").count() == 0
+    assert residue.found(records.limit(0), labels).count() == 0
 
 
 def test_subjects(spark, tables):
