@@ -47,9 +47,11 @@ SLOT = re.compile(
 #: Characters one of which every slot holds; most texts hold none.
 HINT = re.compile(r"[{}\[\]@%$#<>]|__|XXX|&lt;|undefined|NaN")
 TRUSTED = ("{{a}}", "${a}", "<%a%>", "{9}", "[your]", "[insert]", "[object]")
+#: Words that belong to a mark's form, not to the name in it.
+FORM_WORDS = ("lt", "gt", "undefined", "null", "xxxx", "to", "follow")
 QUOTES = "\"'`“”„«»‘’‹›"
 
-POOL, SAMPLE, ROUNDS, COMMON, TRUST, PRIOR, SLOT_PRIOR = 20_000, 1500, 8, 200, 0.25, 0.03, 0.5
+POOL, SAMPLE, ROUNDS, COMMON, TRUST, PRIOR = 20_000, 1500, 8, 200, 0.25, 0.03
 HEX = re.compile(r"[a-f]{2,}")
 TOKEN = re.compile(r"[^\W_]+|[.!?…:](?=\s+[^\W\d_])|\n")
 SPLIT = re.compile(r"(?<=[.!?…:])\s+(?=[^\W\d_])|\n")
@@ -84,11 +86,11 @@ def slots(text: str) -> list[tuple[str, ...]]:
         shape = re.sub(r"[A-Za-z][\w.' -]*", "a", re.sub(r"\d", "9", s.replace("=", ""))).replace(" ", "")
         # A quote mark on both sides.
         quoted = (a > 0 and text[a - 1] in QUOTES) and (b < len(text) and text[b] in QUOTES)
-        left = re.findall(r"[^\W_]+", text[max(0, a - 40) : a].lower())[-2:]
-        right = re.findall(r"[^\W_]+", text[b : b + 40].lower())[:2]
-        inner = re.findall(r"[A-Za-z]+", s.replace("_", " ").lower())
+        left = re.findall(r"[^\W_]+", text[max(0, a - 40) : a].lower())[-1:]
+        right = re.findall(r"[^\W_]+", text[b : b + 40].lower())[:1]
+        inner = [w for w in re.findall(r"[A-Za-z]+", s.replace("_", " ").lower()) if w not in FORM_WORDS]
         if not quoted:  # in quotes it is talked about and stands for no value
-            out.append((shape if shape != "[a]" else f"[{inner[0]}]", *(f"in:{w}" for w in inner), *(f"l:{w}" for w in left), *(f"r:{w}" for w in right)))
+            out.append((shape if shape != "[a]" else f"[{inner[0] if inner else ''}]", *(f"in:{w}" for w in inner), *(f"l:{w}" for w in left), *(f"r:{w}" for w in right)))
     return out
 
 
@@ -103,7 +105,7 @@ class Bayes:
         return self.prior + sum(get(f, 0.0) for f in features)
 
 
-def fit(trusted: list, unlabelled: list, rounds: int = ROUNDS, least: int = 2, mass: float | None = 300.0, alpha: float = 0.5, cap: float = 4.0, skip=frozenset(), prior: float = PRIOR, start: float = 0.0, groups: tuple | None = None) -> Bayes:
+def fit(trusted: list, unlabelled: list, rounds: int = ROUNDS, least: int = 2, mass: float | None = 300.0, alpha: float = 0.5, cap: float = 4.0, skip=frozenset(), prior: float | None = PRIOR, start: float = 0.0, groups: tuple | None = None) -> Bayes:
     """Positive-unlabelled naive Bayes by EM; units are lists of features. groups: numbers of the trusted and of the other units' groups, whose mix is made equal in both classes."""
     seen = Counter(f for u in trusted + unlabelled for f in set(u))
     vocab = [f for f, n in seen.items() if n >= least and f not in skip]
@@ -123,7 +125,8 @@ def fit(trusted: list, unlabelled: list, rounds: int = ROUNDS, least: int = 2, m
     n_g = int(max(gt.max(initial=0), gu.max(initial=0))) + 1
     size_t, size_u = (np.array([len(u) for u in us], float) for us in (trusted, unlabelled))
     p = np.full(n_u, start)
-    odds, prior = np.zeros(v), float(np.log(prior / (1 - prior)))
+    odds, fixed_prior = np.zeros(v), prior
+    prior = float(np.log((prior or 0.5) / (1 - (prior or 0.5))))
     for _ in range(rounds):
         pos = fixed + np.bincount(uf, weights=p[uo], minlength=v)
         in_pos = np.bincount(gt, size_t, n_g) + np.bincount(gu, size_u * p, n_g)
@@ -136,6 +139,8 @@ def fit(trusted: list, unlabelled: list, rounds: int = ROUNDS, least: int = 2, m
             extra, whole = mass * np.maximum((pos / max(pos.sum(), 1e-9) + neg / max(neg.sum(), 1e-9)) / 2, 1e-9), mass
         odds = np.log((pos + extra) / (pos.sum() + whole)) - np.log((neg + extra) / (neg.sum() + whole))
         odds = odds.clip(-cap, cap)
+        if fixed_prior is None:  # the share of residue among all units
+            prior = float(np.log((len(trusted) + p.sum() + 1) / (n_u - p.sum() + 1)))
         s = prior + np.bincount(uo, weights=odds[uf], minlength=n_u)
         p = 1 / (1 + np.exp(-s.clip(-30, 30)))
     return Bayes({f: float(odds[k]) for f, k in at.items()}, prior)
@@ -173,8 +178,8 @@ class Scorer:
         self.at[t] = k
         return k
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the share of its letters in residue passages, and the greatest log odds of a slot (-inf without)."""
+    def shares(self, texts: list[str]) -> np.ndarray:
+        """For each text the share of its letters in residue passages."""
         if self.n > 300_000:
             self.reset()
         lists = [TOKEN.findall(t.lower()) for t in texts]
@@ -193,11 +198,11 @@ class Scorer:
             whose = owner[first]
             total = np.bincount(whose, sums[:, 1], len(texts))
             share = np.bincount(whose, sums[:, 1] * bad, len(texts)) / np.maximum(total, 1)
-        slot = np.full(len(texts), -np.inf)
-        for k, t in enumerate(texts):
-            for s in slots(t):
-                slot[k] = max(slot[k], self.marks.score(s))
-        return share, slot
+        return share
+
+    def slot_scores(self, texts: list[str]) -> np.ndarray:
+        """For each text the greatest log odds of a slot, -inf without any."""
+        return np.array([max((self.marks.score(s) for s in slots(t)), default=-np.inf) for t in texts])
 
 
 def train(records: DataFrame, labeller: language.Labeller, sample: int = SAMPLE) -> Scorer:
@@ -232,7 +237,7 @@ def train(records: DataFrame, labeller: language.Labeller, sample: int = SAMPLE)
             (sure if s[0] in TRUSTED else open_).append(s)
     skip = frozenset(w for w, _ in common.most_common(min(COMMON, len(common) // 20)))
     groups = (langs(trusted), langs(rest))
-    return Scorer(fit([u for u, _ in trusted], [u for u, _ in rest], skip=skip, groups=groups), fit(sure, open_, least=1, mass=None, prior=SLOT_PRIOR, start=0.5))
+    return Scorer(fit([u for u, _ in trusted], [u for u, _ in rest], skip=skip, groups=groups), fit(sure, open_, mass=None, prior=None, start=0.5))
 
 
 def scored(records: DataFrame, labels: DataFrame) -> DataFrame:
@@ -243,7 +248,7 @@ def scored(records: DataFrame, labels: DataFrame) -> DataFrame:
         sc = shared.value
 
         def f(ids, texts):
-            share, slot = sc.score(texts)
+            share, slot = sc.shares(texts), sc.slot_scores(texts)
             return {
                 "row_id": ids,
                 "residue_share": share,
