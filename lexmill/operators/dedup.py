@@ -41,7 +41,7 @@ def signatures(df: DataFrame) -> DataFrame:
 def buckets(sig: DataFrame) -> DataFrame:
     """(doc_id, band, key): the bands of each signature."""
     rows = C.PERMUTATIONS // C.BANDS
-    keys = F.array(*(F.struct(F.lit(k).alias("band"), F.array_join(F.slice("sig", k * rows + 1, rows).cast("array<string>"), "-").alias("key")) for k in range(C.BANDS)))
+    keys = F.array(*(F.struct(F.lit(k).cast("bigint").alias("band"), F.array_join(F.slice("sig", k * rows + 1, rows).cast("array<string>"), "-").alias("key")) for k in range(C.BANDS)))
     return sig.select("doc_id", F.explode(keys).alias("b")).select("doc_id", "b.band", "b.key")
 
 
