@@ -9,7 +9,7 @@ Two models of the same kind work on two kinds of units:
   in quotes or code ticks is talked about and is none.
 
 Trusted are the passages of records of whose letters more than TRUST stand in passages with a sign (SIGNS), and marks of
-well-known shapes (TRUSTED). All other units are unlabelled: passages start as content, marks undecided, and each round
+well-known shapes (TRUSTED). All other units are unlabelled: passages start as content, marks as most likely residue, and each round
 gives every unlabelled unit its probability of being residue and refits both classes with it, while trusted units stay
 residue. The fit looks at about POOL records, those of least hash, and uses at most SAMPLE of them with a sign, as many
 with a mark, and as many of all; scoring covers all records.
@@ -48,7 +48,7 @@ SLOT = re.compile(
 HINT = re.compile(r"[{}\[\]@%$#<>]|__|XXX|&lt;|undefined|NaN")
 TRUSTED = ("{{a}}", "${a}", "<%a%>", "{9}", "[your]", "[insert]", "[object]")
 #: Words that belong to a mark's form, not to the name in it.
-FORM_WORDS = ("lt", "gt", "undefined", "null", "xxxx", "to", "follow")
+FORM_WORDS = ("lt", "gt", "undefined", "null", "xxxx", "to", "follow", "block")
 QUOTES = "\"'`“”„«»‘’‹›"
 
 POOL, SAMPLE, ROUNDS, COMMON, TRUST, PRIOR = 20_000, 1500, 8, 200, 0.25, 0.03
@@ -237,7 +237,7 @@ def train(records: DataFrame, labeller: language.Labeller, sample: int = SAMPLE)
             (sure if s[0] in TRUSTED else open_).append(s)
     skip = frozenset(w for w, _ in common.most_common(min(COMMON, len(common) // 20)))
     groups = (langs(trusted), langs(rest))
-    return Scorer(fit([u for u, _ in trusted], [u for u, _ in rest], skip=skip, groups=groups), fit(sure, open_, mass=None, prior=None, start=0.5))
+    return Scorer(fit([u for u, _ in trusted], [u for u, _ in rest], skip=skip, groups=groups), fit(sure, open_, mass=None, prior=None, start=0.9))
 
 
 def scored(records: DataFrame, labels: DataFrame) -> DataFrame:
