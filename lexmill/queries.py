@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill import config as C
 from lexmill.functions import text as T
 from lexmill.functions.python import nfc
-from lexmill.operators import decontaminate, dedup, lm, packing, runs, sampling, signals, status, training
+from lexmill.operators import classify, decontaminate, dedup, lm, packing, runs, sampling, signals, status, training
 from lexmill.plans import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,6 +236,24 @@ def _(spark, d):
     return status.verdicts(table(spark, d, "documents")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@add(
+    "language_confidence_filter",
+    "with l as (select *, row_number() over (partition by row_id order by detected_at desc nulls last, lang_conf desc nulls last, lang desc nulls last) k from detect_language_batch)"
+    " select row_id, lower(lang) lang, round(case when lang_conf > 1 then lang_conf / 100 else lang_conf end, 6) conf from l where k = 1 and lower(lang) = 'en' and round(case when lang_conf > 1 then lang_conf / 100 else lang_conf end, 6) >= 0.8",
+)
+def _(spark, d):
+    return classify.labelled_language(table(spark, d, "detect_language_batch"))
+
+
+@add("code_classifier")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    lines = docs.select(F.explode(T.lines(T.text(F.col("text")))).alias("text"))
+    labelled = lines.select("text", T.code_line(F.col("text")).cast("int").alias("label"))
+    labelled = labelled.union(spark.createDataFrame([("$ make install", 1), ("The book is here.", 0)], "text string, label int"))
+    return classify.code_filter(docs, classify.train(labelled, 10))
+
+
 # ---- decontamination and deduplication --------------------------------------------------------------------------------
 def s_fp(key, source):
     n = s_normal(f"nfc_normalize({TXT})")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import config as C
-from lexmill.operators import decontaminate, dedup, lm, packing, runs, sampling, signals, status, training
+from lexmill.operators import classify, decontaminate, dedup, lm, packing, runs, sampling, signals, status, training
 from lexmill.plans.components import components
 from lexmill.plans.prefix import running_total
 from lexmill.plans import pipeline
@@ -199,3 +199,16 @@ def test_pipeline(spark):
     assert sorted(one(got, "doc_id")) == [0, 2]
     assert sorted(one(pipeline.tokens(got, C.Config(min_tokens=10)), "doc_id")) == [0, 2]
     assert pipeline.curate(d.limit(0), held).count() == 0
+
+
+def test_classifier(spark, docs):
+    rows = [(f"def f{k}(self): return {k}", 1) for k in range(40)] + [(f"the cat number {k} sat on the mat", 0) for k in range(40)]
+    model = classify.train(spark.createDataFrame(rows, "text string, label int"))
+    got = {r.doc_id: (r.status, r.code_score) for r in classify.code_filter(docs("def f99(self): return 1\nthe cat", "the cat sat on the mat", None), model).collect()}
+    assert [got[k][0] for k in range(3)] == ["classifier_code", "kept", "kept"] and got[2][1] == 0.0
+
+
+def test_labelled_language(spark):
+    rows = [(1, "EN", 0.9, 1), (1, "de", 0.9, 0), (2, "en", 95.0, 1), (3, "en", 0.7, 1), (4, None, 0.9, 1), (5, "en", None, 1)]
+    d = spark.createDataFrame(rows, "row_id bigint, lang string, lang_conf double, at int").selectExpr("row_id", "lang", "lang_conf", "timestamp_seconds(at) detected_at")
+    assert sorted(map(tuple, classify.labelled_language(d).collect())) == [(1, "en", 0.9), (2, "en", 0.95)]
