@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill import config as C
 from lexmill.functions import text as T
 from lexmill.functions.python import nfc
-from lexmill.plans.stage import cut, left_join, semi_join
+from lexmill.plans.stage import anti_join, cut, left_join
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -24,12 +24,17 @@ def index_of(items: DataFrame) -> DataFrame:
 
 def status(df: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, fp, status): empty_after_normalize, test_overlap or kept."""
-    fp = fingerprints(df)
-    hit = semi_join(fp, index_of(items), ["fp"]).select("doc_id").distinct().withColumn("hit", F.lit(True))
-    rows = fp.join(hit, "doc_id", "left")
+    rows = left_join(fingerprints(df), index_of(items).withColumn("hit", F.lit(True)), ["fp"])
     return rows.select("doc_id", "fp", F.when(F.col("fp").isNull(), "empty_after_normalize").when(F.col("hit"), "test_overlap").otherwise("kept").alias("status"))
 
 
+def clean(df: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of df whose fingerprint is neither empty nor an item's; df is read once."""
+    n = T.normalize(nfc(T.text(F.col("text"))))
+    d = df.withColumn("_n", n).where(F.col("_n") != "").withColumn("_fp", F.sha1(F.encode("_n", "utf-8"))).drop("_n")
+    return anti_join(d, index_of(items).withColumnRenamed("fp", "_fp"), ["_fp"]).drop("_fp")
+
+
 def char_overlap(df: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, n_grams, n_matched, ratio, contaminated): distinct 13-character runs that also stand in an item.
 

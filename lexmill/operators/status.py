@@ -53,30 +53,40 @@ def sanitized(df: DataFrame) -> DataFrame:
 PHASES = ("sanitize", "language", "code", "quality", "ellipsis")
 
 
+def _verdict(clean: str, lang: str, config: C.Config) -> Column:
+    """(phase, reason) of the first phase that drops a document with this sanitized text."""
+    c = F.col(clean)
+    by_phase = {
+        "sanitize": sanitize_status(c),
+        "language": F.when(F.lower(F.coalesce(lang, F.lit(""))) == config.language, "kept").otherwise("other_language"),
+        "code": code_status(c) if config.filter_mode != "none" else F.lit("kept"),
+        "quality": quality_status(c) if config.filter_mode != "none" else F.lit("kept"),
+        "ellipsis": ellipsis_status(c),
+    }
+    out = F.struct(F.lit("kept").alias("phase"), F.lit("kept").alias("reason"))
+    for phase in PHASES:
+        if phase not in config.skip:
+            status = F.struct(F.lit(phase).alias("phase"), by_phase[phase].alias("reason"))
+            out = F.when(out["reason"] == "kept", status).otherwise(out)
+    return out
+
+
 def verdicts(df: DataFrame, config: C.Config | None = None) -> DataFrame:
     """doc_id and the first phase that drops the document with its reason; one pass, phases after the first failure aren't looked at.
 
     df: doc_id, text, lang. A null lang is no language. Phases in config.skip are left out.
     """
-    config = config or C.Config()
     s = df.select("doc_id", "lang", T.sanitize(T.text(F.col("text"))).alias("clean"))
-    by_phase = {
-        "sanitize": sanitize_status(F.col("clean")),
-        "language": F.when(F.lower(F.coalesce("lang", F.lit(""))) == config.language, "kept").otherwise("other_language"),
-        "code": code_status(F.col("clean")) if config.filter_mode != "none" else F.lit("kept"),
-        "quality": quality_status(F.col("clean")) if config.filter_mode != "none" else F.lit("kept"),
-        "ellipsis": ellipsis_status(F.col("clean")),
-    }
-    out = None
-    for phase in PHASES:
-        if phase in config.skip:
-            continue
-        status = F.struct(F.lit(phase).alias("phase"), by_phase[phase].alias("reason"))
-        out = status if out is None else F.when(out["reason"] == "kept", status).otherwise(out)
-    s = s.select("doc_id", out.alias("v"))
+    s = s.select("doc_id", _verdict("clean", "lang", config or C.Config()).alias("v"))
     return s.select("doc_id", F.when(F.col("v.reason") == "kept", "kept").otherwise(F.col("v.phase")).alias("phase"), F.col("v.reason").alias("reason"))
 
 
+def passed(df: DataFrame, *columns: str, config: C.Config | None = None) -> DataFrame:
+    """The columns, and the sanitized text as `text`, of the documents that no phase drops; the same one pass."""
+    s = df.select(*columns, F.col("lang").alias("_lang"), T.sanitize(T.text(F.col("text"))).alias("_clean"))
+    return s.where(_verdict("_clean", "_lang", config or C.Config())["reason"] == "kept").select(*columns, F.col("_clean").alias("text"))
+
+
 def funnel(df: DataFrame, config: C.Config | None = None) -> DataFrame:
     """Documents left after each phase, from one pass over the documents."""
     config = config or C.Config()

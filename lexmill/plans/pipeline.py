@@ -17,13 +17,11 @@ def curate(documents: DataFrame, held_out: DataFrame, config: C.Config | None =
     before deduplication is cut, as that reads it several times.
     """
     config = config or C.Config()
-    d = documents
+    columns = ["doc_id", *([topic] if topic else [])]
+    d = documents.select(*columns, "text", "lang")
     if "decontaminate" not in config.skip:
-        clean = decontaminate.status(d, held_out).where("status = 'kept'").select("doc_id")
-        d = d.join(clean, "doc_id", "left_semi")
-    kept = status.verdicts(d, config).where("phase = 'kept'").select("doc_id")
-    text = status.sanitized(d).select("doc_id", F.col("clean_text").alias("text"))
-    d = cut(d.select("doc_id", *([topic] if topic else [])).join(kept, "doc_id", "left_semi").join(text, "doc_id"))
+        d = decontaminate.clean(d, held_out)
+    d = cut(status.passed(d, *columns, config=config))
     if topic and "topics" not in config.skip:
         d = sampling.topic_resample(d, config, topic)
     if "dedup" not in config.skip:

@@ -43,3 +43,9 @@ def anti_join(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADC
     """Rows of df without a row in a cut frame of keys, by the same rule."""
     small = keys.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(keys) if small else keys.hint("shuffle_merge"), on, "left_anti")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table of fewer partitions than these, as a single small file is, is dealt out anew; larger ones stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

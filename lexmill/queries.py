@@ -12,6 +12,7 @@ from lexmill.functions import text as T
 from lexmill.functions.python import nfc
 from lexmill.operators import classify, decontaminate, dedup, lm, packing, runs, sampling, signals, status, training
 from lexmill.plans import pipeline
+from lexmill.plans.stage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,7 +20,8 @@ SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in ("documents", "openwebtext_10k") else df
 
 
 def add(name: str, sql: str | None = None):
