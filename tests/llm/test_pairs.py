@@ -201,6 +201,28 @@ def test_hot_group(spark):
     assert {tuple(r) for r in neardup.found(frame(spark, docs, "row_id")).collect()} == brute_pairs(docs)
 
 
+def test_large_hot_group(spark, monkeypatch):
+    # Several hundred variants with many spread edits: no key of any length is both rare and common to a pair. Small blocks too, several of one size.
+    r, body = random.Random(31), texts(32, 1, (240, 240), 2000)[0].split()
+    docs = []
+    for k in range(300):
+        w, phase = body[:], r.randrange(25)
+        for j in range(phase, len(w), 25):
+            w[j] = f"edit{k}x{j}"
+        docs.append((k, " ".join(w)))
+    docs += list(enumerate(texts(33, 30, (60, 90), 5000), 1000))
+    want = brute_pairs(docs)
+    assert len(want) > 40_000
+    assert {tuple(r) for r in neardup.found(frame(spark, docs, "row_id")).collect()} == want
+    monkeypatch.setattr(neardup, "BLOCK", 20_000, raising=False)
+    assert {tuple(r) for r in neardup.found(frame(spark, docs, "row_id")).collect()} == want
+
+
+def test_block_bounds():
+    assert neardup.block_bounds([(5, 2), (3, 1), (4, 100), (9, 1)], 200) == [(3, 3, 0, 1), (4, 4, 0, 2), (4, 4, 1, 2), (5, 9, 0, 1)]
+    assert neardup.block_bounds([], 10) == [] and neardup.block_bounds([(1, 10), (2, 1)], 10) == [(1, 1, 0, 1), (2, 2, 0, 1)]
+
+
 def test_no_near_duplicates(spark):
     d = frame(spark, [(1, "a b c"), (2, None)], "row_id")
     assert neardup.found(d).count() == neardup.groups(d).count() == neardup.found(d.limit(0)).count() == 0
