@@ -218,6 +218,20 @@ def test_large_hot_group(spark, monkeypatch):
     assert {tuple(r) for r in neardup.found(frame(spark, docs, "row_id")).collect()} == want
 
 
+def test_evenly_edited(spark):
+    # Common words, and a substitution every 6 to 16 words: no long run of words is shared. Among ten times as many other records.
+    r, docs = random.Random(41), []
+    for t in texts(42, 40, (90, 200), 400):
+        w = t.split()
+        for j in range(r.randrange(6), len(w), r.choice([6, 7, 10, 16])):
+            w[j] = f"other{len(docs)}x{j}"
+        docs += [t, " ".join(w)]
+    docs = list(enumerate(docs + texts(43, 800, (60, 200), 400)))
+    want = brute_pairs(docs)
+    assert len(want) >= 30
+    assert {tuple(r) for r in neardup.found(frame(spark, docs, "row_id")).collect()} == want
+
+
 def test_block_bounds():
     assert neardup.block_bounds([(5, 2), (3, 1), (4, 100), (9, 1)], 200) == [(3, 3, 0, 1), (4, 4, 0, 2), (4, 4, 1, 2), (5, 9, 0, 1)]
     assert neardup.block_bounds([], 10) == [] and neardup.block_bounds([(1, 10), (2, 1)], 10) == [(1, 1, 0, 1), (2, 2, 0, 1)]
