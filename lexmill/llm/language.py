@@ -24,15 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.functions.labels import normal_label
 from lexmill.llm.common import map_texts
 
-# The languages and their notations.
+# Fixed value: the languages.
 LANGUAGES = ("en", "de", "fr", "es", "it", "nl")
-NAMES = {
-    "en": ("en", "eng", "english"), "de": ("de", "deu", "ger", "german"), "fr": ("fr", "fra", "fre", "french"),
-    "es": ("es", "spa", "spanish"), "it": ("it", "ita", "italian"), "nl": ("nl", "nld", "dut", "dutch"), "none": ("la", "lat", "latin"),
-}
-UNKNOWN = ("", "unknown", "und", "n/a", "null", "none")
 # Fixed value: the usual filler text.
 FILLER = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat"
 
@@ -43,16 +39,6 @@ ORDER, SWITCH, LEAST_SHARE, LEAST_WORDS = 5, 5.0, 0.2, 3
 TOKEN = re.compile(r"[^\W_]+|[.!?…][\"'”»)\]]*(?=\s)|\n")
 
 
-def normal_label(c):
-    """Label column as one of LANGUAGES, 'none', another code, or null if it says nothing."""
-    c = F.regexp_replace(F.lower(F.trim(c)), "^__label__", "")
-    c = F.when(c.isin(*UNKNOWN), None).otherwise(F.regexp_replace(c, "[-_].*$", ""))
-    out = c
-    for code, names in NAMES.items():
-        out = F.when(c.isin(*names), code).otherwise(out)
-    return out
-
-
 def current_labels(labels: DataFrame) -> DataFrame:
     """(row_id, label): the current label of each record with a row, normalised."""
     last = F.max_by(F.struct("lang"), F.struct("detected_at", "lang_conf", "lang"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.functions.labels import normal_label
 
 FEATURES = 1 << 14
 
@@ -37,8 +38,8 @@ def code_filter(df: DataFrame, model: PipelineModel, least: float = 0.5) -> Data
 
 
 def labelled_language(labels: DataFrame, language: str = "en", least: float = 0.8) -> DataFrame:
-    """(row_id, lang, conf) of the records whose latest label is the language with at least `least` confidence; percents are read as shares."""
+    """(row_id, lang, conf) of the records whose latest label is the language, in any notation, with at least `least` confidence; percents are read as shares."""
     last = labels.groupBy("row_id").agg(F.max_by(F.struct("lang", "lang_conf"), F.struct("detected_at", "lang_conf", "lang")).alias("l")).select("row_id", "l.*")
     conf = F.when(F.col("lang_conf") > 1, F.col("lang_conf") / 100).otherwise(F.col("lang_conf"))
-    s = last.select("row_id", F.lower("lang").alias("lang"), F.round(conf, 6).alias("conf"))
+    s = last.select("row_id", normal_label(F.col("lang")).alias("lang"), F.round(conf, 6).alias("conf"))
     return s.where((F.col("lang") == language) & (F.col("conf") >= least))

@@ -212,3 +212,10 @@ def test_labelled_language(spark):
     rows = [(1, "EN", 0.9, 1), (1, "de", 0.9, 0), (2, "en", 95.0, 1), (3, "en", 0.7, 1), (4, None, 0.9, 1), (5, "en", None, 1)]
     d = spark.createDataFrame(rows, "row_id bigint, lang string, lang_conf double, at int").selectExpr("row_id", "lang", "lang_conf", "timestamp_seconds(at) detected_at")
     assert sorted(map(tuple, classify.labelled_language(d).collect())) == [(1, "en", 0.9), (2, "en", 0.95)]
+
+
+def test_labelled_language_notations(spark):
+    rows = [(k, x, 0.9) for k, x in enumerate(["en", "eng", "English", "en-GB", "EN_us", "__label__en", " en ", "de", "la", "unknown", "", "end"])]
+    d = spark.createDataFrame(rows, "row_id bigint, lang string, lang_conf double").withColumn("detected_at", F.timestamp_seconds(F.lit(0)))
+    assert sorted((r.row_id, r.lang) for r in classify.labelled_language(d).collect()) == [(k, "en") for k in range(7)]
+    assert [r.row_id for r in classify.labelled_language(d, "de").collect()] == [7]
