@@ -32,6 +32,8 @@ MAX_HTML, MAX_SYMBOLS, MAX_KEYWORDS = 0.02, 0.10, 3
 MIN_WORDS, MIN_CHARS, MAX_WORD, REPEAT_WORDS, MAX_REPEATS = 50, 200, 40, 10, 3
 MAX_ELLIPSIS = 0.1
 SHINGLE, PERMUTATIONS, BANDS, EMPTY_HASH = 5, 16, 4, 2**32 - 1
+#: Least similarity of near-duplicates where it is verified.
+SIMILAR = 0.8
 OVERLAP_CHARS, MAX_OVERLAP = 13, 0.8
 TOKENS_PER_DOC, ATTRITION, SHARD_DOCS = 1085, 0.30, 50_000
 FULL_CORPUS_DOCS = 8_013_769

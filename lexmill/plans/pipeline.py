@@ -25,7 +25,7 @@ def curate(documents: DataFrame, held_out: DataFrame, config: C.Config | None =
     if topic and "topics" not in config.skip:
         d = sampling.topic_resample(d, config, topic)
     if "dedup" not in config.skip:
-        d = dedup.survivors(d)
+        d = dedup.verified_survivors(d)
     return d.select("doc_id", "text")
 
 

@@ -1,6 +1,7 @@
 """Operators on small tables: rules in order, nulls, empty tables, ties, extra columns."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +220,34 @@ def test_labelled_language_notations(spark):
     d = spark.createDataFrame(rows, "row_id bigint, lang string, lang_conf double").withColumn("detected_at", F.timestamp_seconds(F.lit(0)))
     assert sorted((r.row_id, r.lang) for r in classify.labelled_language(d).collect()) == [(k, "en") for k in range(7)]
     assert [r.row_id for r in classify.labelled_language(d, "de").collect()] == [7]
+
+
+def test_verified_near_duplicates(spark, docs):
+    # Single substitutions at growing numbers: similarities on both sides of 0.8, against brute force.
+    r, texts = random.Random(7), []
+    for g in range(30):
+        words = [f"g{g}w{r.randrange(500)}" for _ in range(r.randint(60, 150))]
+        texts.append(" ".join(words))
+        for k in (1, 2, 3, 4, 6, 9):
+            w = words[:]
+            for j in r.sample(range(len(w)), k):
+                w[j] = f"new{g}x{k}x{j}"
+            texts.append(" ".join(w))
+    texts += [texts[0].upper(), "a b", "A  b", "c d", "", None, "same " * 60, "same " * 70]
+    sets = {}
+    for k, t in enumerate(texts):
+        w = (t or "").lower().split()
+        if w:
+            sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    close = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = {(x.a, x.b) for x in dedup.similar(docs(*texts)).collect()}
+    reps = {min(b for b in sets if sets[b] == sets[a]) for a in sets}
+    assert got == {(a, b) for a, b in close if a in reps and (b in reps or sets[a] == sets[b])} and len(got) > 50
+    root = {k: k for k in range(len(texts))}
+    for a, b in close:
+        x, y = sorted((root[a], root[b]))
+        root = {k: x if v == y else v for k, v in root.items()}
+    skip = C.Config(filter_mode="none", skip=frozenset({"sanitize", "language", "code", "quality", "ellipsis", "decontaminate"}))
+    left = pipeline.curate(docs(*texts).withColumn("lang", F.lit("en")), docs("x", key="item_id"), skip)
+    assert sorted(one(left, "doc_id")) == sorted({*root.values()})
+    assert dedup.similar(docs("a").limit(0)).count() == 0
