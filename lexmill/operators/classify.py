@@ -37,6 +37,13 @@ def code_filter(df: DataFrame, model: PipelineModel, least: float = 0.5) -> Data
     return s.select("doc_id", F.round(score, 6).alias("code_score"), F.when(score > least, "classifier_code").otherwise("kept").alias("status"))
 
 
+def education_filter(df: DataFrame, model: PipelineModel, least: int = 2) -> DataFrame:
+    """(doc_id, education, status): the model's probability as a whole score from 0 to 5; below `least` it is low_educational, blank texts have 0."""
+    s = model.transform(df.select("doc_id", T.text(F.col("text")).alias("text"))).select("doc_id", "text", vector_to_array("probability")[1].alias("p"))
+    score = F.when(T.strip(F.col("text")) == "", F.lit(0)).otherwise(F.round(F.col("p") * 5).cast("int"))
+    return s.select("doc_id", score.alias("education"), F.when(score < least, "low_educational").otherwise("kept").alias("status"))
+
+
 def labelled_language(labels: DataFrame, language: str = "en", least: float = 0.8) -> DataFrame:
     """(row_id, lang, conf) of the records whose latest label is the language, in any notation, with at least `least` confidence; percents are read as shares."""
     last = labels.groupBy("row_id").agg(F.max_by(F.struct("lang", "lang_conf"), F.struct("detected_at", "lang_conf", "lang")).alias("l")).select("row_id", "l.*")

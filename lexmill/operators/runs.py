@@ -1,4 +1,4 @@
-"""Run analytics: metric series, checkpoints, trials. Runs are partitions of windows; within one, lines are in order."""
+"""Run analytics: metric series, checkpoints. Runs are partitions of windows; within one, lines are in order."""
 
 from __future__ import annotations
 

@@ -53,14 +53,18 @@ def sanitized(df: DataFrame) -> DataFrame:
 PHASES = ("sanitize", "language", "code", "quality", "ellipsis")
 
 
-def _verdict(clean: str, lang: str, config: C.Config) -> Column:
-    """(phase, reason) of the first phase that drops a document with this sanitized text."""
+def _verdict(clean: str, lang: str, config: C.Config, confidence: str | None = None) -> Column:
+    """(phase, reason) of the first phase that drops a document with this sanitized text. In classifier mode code and quality are left to models."""
     c = F.col(clean)
+    known = F.lower(F.coalesce(lang, F.lit(""))) == config.language
+    if confidence:
+        share = F.when(F.col(confidence) > 1, F.col(confidence) / 100).otherwise(F.col(confidence))
+        known = known & F.coalesce(share >= config.min_confidence, F.lit(False))
     by_phase = {
         "sanitize": sanitize_status(c),
-        "language": F.when(F.lower(F.coalesce(lang, F.lit(""))) == config.language, "kept").otherwise("other_language"),
-        "code": code_status(c) if config.filter_mode != "none" else F.lit("kept"),
-        "quality": quality_status(c) if config.filter_mode != "none" else F.lit("kept"),
+        "language": F.when(known, "kept").otherwise("other_language"),
+        "code": code_status(c) if config.filter_mode == "heuristic" else F.lit("kept"),
+        "quality": quality_status(c) if config.filter_mode == "heuristic" else F.lit("kept"),
         "ellipsis": ellipsis_status(c),
     }
     out = F.struct(F.lit("kept").alias("phase"), F.lit("kept").alias("reason"))
@@ -74,17 +78,23 @@ def _verdict(clean: str, lang: str, config: C.Config) -> Column:
 def verdicts(df: DataFrame, config: C.Config | None = None) -> DataFrame:
     """doc_id and the first phase that drops the document with its reason; one pass, phases after the first failure aren't looked at.
 
-    df: doc_id, text, lang. A null lang is no language. Phases in config.skip are left out.
+    df: doc_id, text, lang and, if given, lang_conf, which must be config.min_confidence or more; percents are read as shares.
+    A null lang is no language. Phases in config.skip are left out.
     """
-    s = df.select("doc_id", "lang", T.sanitize(T.text(F.col("text"))).alias("clean"))
-    s = s.select("doc_id", _verdict("clean", "lang", config or C.Config()).alias("v"))
+    config = config or C.Config()
+    if config.filter_mode == "classifier":
+        raise ValueError("verdicts by models: only plans.pipeline.curate has the classifier mode")
+    confidence = [c for c in ("lang_conf",) if c in df.columns]
+    s = df.select("doc_id", "lang", *confidence, T.sanitize(T.text(F.col("text"))).alias("clean"))
+    s = s.select("doc_id", _verdict("clean", "lang", config, *confidence).alias("v"))
     return s.select("doc_id", F.when(F.col("v.reason") == "kept", "kept").otherwise(F.col("v.phase")).alias("phase"), F.col("v.reason").alias("reason"))
 
 
 def passed(df: DataFrame, *columns: str, config: C.Config | None = None) -> DataFrame:
     """The columns, and the sanitized text as `text`, of the documents that no phase drops; the same one pass."""
-    s = df.select(*columns, F.col("lang").alias("_lang"), T.sanitize(T.text(F.col("text"))).alias("_clean"))
-    return s.where(_verdict("_clean", "_lang", config or C.Config())["reason"] == "kept").select(*columns, F.col("_clean").alias("text"))
+    confidence = ["_conf"] if "lang_conf" in df.columns else []
+    s = df.select(*columns, F.col("lang").alias("_lang"), *(F.col("lang_conf").alias(c) for c in confidence), T.sanitize(T.text(F.col("text"))).alias("_clean"))
+    return s.where(_verdict("_clean", "_lang", config or C.Config(), *confidence)["reason"] == "kept").select(*columns, F.col("_clean").alias("text"))
 
 
 def funnel(df: DataFrame, config: C.Config | None = None) -> DataFrame:

@@ -6,22 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill import config as C
-from lexmill.operators import decontaminate, dedup, packing, sampling, status
+from lexmill.operators import classify, decontaminate, dedup, lm, packing, sampling, status
 from lexmill.plans.stage import cut
 
 
-def curate(documents: DataFrame, held_out: DataFrame, config: C.Config | None = None, topic: str | None = None) -> DataFrame:
+def curate(documents: DataFrame, held_out: DataFrame, config: C.Config | None = None, topic: str | None = None, models: dict | None = None) -> DataFrame:
     """(doc_id, text) of the documents that pass all phases not in config.skip; text is sanitized.
 
-    documents: doc_id, text, lang and, if given, the topic column. Rows are dropped before the costly phases; what is left
+    documents: doc_id, text, lang and, if given, lang_conf and the topic column. In filter mode classifier, models has those of
+    classify.train for "code" and "education"; they and the perplexity decide instead of the heuristics. Rows are dropped before the costly phases; what is left
     before deduplication is cut, as that reads it several times.
     """
     config = config or C.Config()
     columns = ["doc_id", *([topic] if topic else [])]
-    d = documents.select(*columns, "text", "lang")
+    by_model = config.filter_mode == "classifier"
+    needed = {m for phase, m in (("code", "code"), ("quality", "education")) if by_model and phase not in config.skip}
+    if missing := needed - set(models or {}):
+        raise ValueError(f"filter mode classifier needs models: {sorted(missing)}")
+    d = documents.select(*columns, "text", "lang", *(c for c in ("lang_conf",) if c in documents.columns))
     if "decontaminate" not in config.skip:
         d = decontaminate.clean(d, held_out)
     d = cut(status.passed(d, *columns, config=config))
+    if "code" in needed:
+        d = cut(_kept(d, classify.code_filter(d, models["code"])))
+    if "education" in needed:
+        d = cut(_kept(_kept(d, lm.perplexity_status(d)), classify.education_filter(d, models["education"])))
     if topic and "topics" not in config.skip:
         d = sampling.topic_resample(d, config, topic)
     if "dedup" not in config.skip:
@@ -29,6 +38,10 @@ def curate(documents: DataFrame, held_out: DataFrame, config: C.Config | None =
     return d.select("doc_id", "text")
 
 
+def _kept(d: DataFrame, verdicts: DataFrame) -> DataFrame:
+    return d.join(verdicts.where("status = 'kept'").select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def tokens(curated: DataFrame, config: C.Config | None = None) -> DataFrame:
     """(doc_id, input_ids, n_tokens) of the curated documents with at least min_tokens tokens, the end mark included."""
     config = config or C.Config()

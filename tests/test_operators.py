@@ -251,3 +251,23 @@ def test_verified_near_duplicates(spark, docs):
     left = pipeline.curate(docs(*texts).withColumn("lang", F.lit("en")), docs("x", key="item_id"), skip)
     assert sorted(one(left, "doc_id")) == sorted({*root.values()})
     assert dedup.similar(docs("a").limit(0)).count() == 0
+
+
+def test_classifier_mode_and_confidence(spark, docs):
+    word = lambda w, k: " ".join(f"{w}{k}x{i}" for i in range(60))
+    fence = "some words\n" + " ".join(f"``` step{i}" for i in range(60))
+    texts = ["plain words here few plain words of a text some words", "shell make install now\n" + word("rest", 2), "gossip gossip gossip gossip", "few plain words of a short text in quite another manner than others", "again " * 50]
+    d = docs(*texts, fence).withColumn("lang", F.lit("en"))
+    code = classify.train(spark.createDataFrame([("shell make install now", 1), ("plain words here", 0), ("some words", 0), ("few plain words", 0)] * 5, "text string, label int"))
+    education = classify.train(spark.createDataFrame([("gossip gossip gossip", 0), ("plain words", 1), ("few plain words of a text", 1)] * 5, "text string, label int"))
+    run = lambda d, **k: sorted(one(pipeline.curate(d, docs("x", key="item_id"), C.Config(skip=frozenset({"sanitize"}), **k), models={"code": code, "education": education}), "doc_id"))
+    model = run(d, filter_mode="classifier")
+    assert 0 in model and 3 in model and 1 not in model and 2 not in model
+    assert 3 not in run(d, filter_mode="heuristic")
+    with pytest.raises(ValueError):
+        pipeline.curate(d, docs("x", key="item_id"), C.Config(filter_mode="classifier"))
+    with pytest.raises(ValueError):
+        status.verdicts(d, C.Config(filter_mode="classifier"))
+    sure = d.withColumn("lang_conf", F.element_at(F.array(*map(F.lit, (0.9, 95.0, 0.7, None, 0.0, 0.8))), (F.col("doc_id") + 1).cast("int")))
+    assert {r.doc_id for r in status.verdicts(sure).where("reason = 'other_language'").collect()} == {2, 3, 4}
+    assert run(sure, filter_mode="none") == [0, 1, 5] and run(sure, filter_mode="none", min_confidence=0.9) == [0, 1]
