@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import language, leakage, mixing, neardup, quality, residue, spans, subjects as subject_areas
+from lexmill.plans.stage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +16,13 @@ def table(name: str):
     return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet")
 
 
-web, labels, raters, areas = table("openwebtext_10k"), table("detect_language_batch"), table("subject_labels"), table("subject_areas")
-documents, benchmark, targets = table("documents"), table("benchmark"), table("mix_targets")
+def texts(name: str):
+    """A table of texts, dealt out over all cores if it is a single small file."""
+    return lambda spark, d: spread(spark.read.parquet(f"{d}/{name}.parquet"))
+
+
+web, labels, raters, areas = texts("openwebtext_10k"), table("detect_language_batch"), table("subject_labels"), table("subject_areas")
+documents, benchmark, targets = texts("documents"), table("benchmark"), table("mix_targets")
 
 
 def queries() -> dict[str, Query]:
