@@ -2,13 +2,17 @@
 
 The mix is as large as all documents whose source has a target. It is cut into blocks of equal tokens, and the blocks
 go to the sources one after the other by the highest quotient share / (2 * blocks so far + 1); a source leaves the
-contest when its blocks reach its tokens times max_repeats. A source's blocks are then divided over shards (buckets of
-a seeded hash of the document id) by the same rule, with what each shard holds as weight. Within a source and shard,
+contest when its blocks reach its tokens times max_repeats. A source's blocks are then divided over SHARDS shards (by a
+seeded hash of the document id) by the same rule, with what each shard holds as weight. Within a source and shard,
 whole documents are taken in seeded order until the quota is filled: all of them as often as the quota holds the
 shard's tokens, and one time more up to the document nearest to the rest.
 
-Sizes are tokens of a public tokenizer, counted in Python once and cut. Only (source, shard) totals come to the
-driver: at most targets * MAX_SHARDS rows. A hot source spreads over all shards.
+A source is unreachable if a contest with blocks of one token, which nobody leaves, gives it more than its tokens times
+max_repeats: there it would have gone on winning blocks after its last document.
+
+Sizes are tokens of a public tokenizer, counted in Python once and cut. Only the totals of the shards come to the driver
+(SHARDS rows a target). The documents of a shard fall into BUCKETS buckets in seeded order; whole buckets are taken by
+their totals, and only the one in which the rest ends is ranked, so that no source or shard is sorted in one task.
 
 Sources are compared after lower-casing and trimming. Documents with a null source or one without a target stay out;
 null and empty texts have no tokens. A null or non-positive target_share asks for nothing. Of repeated targets the
@@ -27,9 +31,7 @@ from lexmill.llm.common import map_texts
 from lexmill.plans.stage import cut
 
 BLOCK_TOKENS = 1024
-MAX_SHARDS = 4096
-#: Tokens of the mix for each shard; the number of shards follows the corpus.
-SHARD_TOKENS = 2_000_000
+SHARDS, BUCKETS = 16, 4096
 MAX_TARGETS = 10_000
 SEED = 17
 
@@ -113,48 +115,54 @@ class Mix:
         wanted = spark.createDataFrame([(k,) for k in self.targets], "source string")
         kept = documents.select("doc_id", "source", "text").where(F.col("source").isNotNull())
         kept = kept.withColumn("key", name_of(F.col("source"))).join(F.broadcast(wanted.withColumnRenamed("source", "key")), "key", "left_semi")
-        counts = cut(token_counts(kept, path).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(MAX_SHARDS)).cast("int")))
-        per = counts.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n")).collect()
-        total = sum(r.n for r in per)
-        self.shards = 1
-        while self.shards < MAX_SHARDS and total > self.shards * SHARD_TOKENS:
-            self.shards *= 2
-        self.counts = counts.withColumn("shard", F.pmod("bucket", F.lit(self.shards)).cast("int"))
-        self.total = total
-        held: dict[str, dict[int, int]] = {k: {} for k in self.targets}
-        for r in per:
-            s = held[r.source]
-            s[r.bucket % self.shards] = s.get(r.bucket % self.shards, 0) + r.n
-        self.held = held
-        share = sum(t[1] for t in self.targets.values())
-        self.asked = {k: t[1] / share * total if share else 0.0 for k, t in self.targets.items()}
-        self.tokens = {k: sum(held[k].values()) for k in self.targets}
+        place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1)
+        counts = token_counts(kept, path).withColumn("shard", (place % SHARDS).cast("int")).withColumn("bucket", F.shiftright(place, 63 - (BUCKETS.bit_length() - 1)).cast("int"))
+        self.counts = cut(counts)
+        self.held: dict[str, dict[int, int]] = {k: {} for k in self.targets}
+        for r in self.counts.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect():  # SHARDS rows a target at most
+            self.held[r.source][r.shard] = r.n
+        self.tokens = {k: sum(v.values()) for k, v in self.held.items()}
+        self.total = sum(self.tokens.values())
+        shares = {k: t[1] for k, t in self.targets.items()}
+        free = dict.fromkeys(self.targets, 1 << 62)
         self.capacity = {k: t[2] * self.tokens[k] for k, t in self.targets.items()}
-        caps = {k: -(-c // block_tokens) for k, c in self.capacity.items()}
-        #: What each source would get if nothing limited it, and what it gets.
-        self.wished = apportion({k: t[1] for k, t in self.targets.items()}, -(-total // block_tokens), dict.fromkeys(self.targets, 1 << 62))
-        self.blocks = apportion({k: t[1] for k, t in self.targets.items()}, -(-total // block_tokens), caps)
+        #: Tokens and blocks that each source would get if nothing limited it, and blocks that it gets.
+        self.asked = apportion(shares, self.total, free)
+        self.wished = apportion(shares, -(-self.total // block_tokens), free)
+        self.blocks = apportion(shares, -(-self.total // block_tokens), {k: -(-c // block_tokens) for k, c in self.capacity.items()})
+        #: (source, shard, tokens of the shard's quota, tokens of its documents).
         self.quota = []
         for k, n in self.blocks.items():
-            most = {s: -(-v * self.targets[k][2] // block_tokens) for s, v in held[k].items()}
-            for s, b in apportion({s: float(v) for s, v in held[k].items()}, n, most).items():
-                self.quota.append((k, s, min(b * block_tokens, held[k][s] * self.targets[k][2]), held[k][s]))
+            held, repeats = self.held[k], self.targets[k][2]
+            for shard, b in apportion({s: float(v) for s, v in held.items()}, n, {s: -(-v * repeats // block_tokens) for s, v in held.items()}).items():
+                self.quota.append((k, shard, min(b * block_tokens, held[shard] * repeats), held[shard]))
 
     def documents(self) -> DataFrame:
         """(source as in targets, doc_id, n_tokens, copies): the documents of the mix."""
         spark = self.counts.sparkSession
-        q = spark.createDataFrame([(k, self.targets[k][0], s, n // t if t else 0, n % t if t else 0, self.targets[k][2]) for k, s, n, t in self.quota], "source string, name string, shard int, whole bigint, rest bigint, most int")
-        order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(self.seed + 1)), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-        d = self.counts.join(F.broadcast(q), ["source", "shard"]).withColumn("upto", F.sum("n_tokens").over(order))
-        d = d.withColumn("copies", F.least(F.col("whole") + (F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest")).cast("bigint") * (F.col("rest") > 0).cast("bigint"), F.col("most").cast("bigint")))
-        return d.where((F.col("copies") > 0) & (F.col("n_tokens") > 0)).select(F.col("name").alias("source"), "doc_id", "n_tokens", "copies")
+        rows = [(k, self.targets[k][0], s, n // t if t else 0, n % t if t else 0, self.targets[k][2]) for k, s, n, t in self.quota]
+        q = F.broadcast(spark.createDataFrame(rows, "source string, name string, shard int, whole bigint, rest bigint, most int"))
+        key = ["source", "shard"]
+        sums = self.counts.groupBy(*key, "bucket").agg(F.sum("n_tokens").alias("n")).join(q, key)
+        end = F.sum("n").over(Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))  # BUCKETS rows
+        first = F.struct("bucket", "start")
+        edge = sums.withColumn("start", end - F.col("n")).where(F.col("start") + F.col("n") >= F.col("rest")).groupBy(*key).agg(F.min(first).alias("edge"))
+        plan = q.join(edge, key, "left").select(*key, "name", "whole", "rest", "most", F.col("edge.bucket").alias("edge"), F.coalesce("edge.start", F.lit(0)).alias("start"))
+        d = self.counts.where("n_tokens > 0").join(F.broadcast(plan), key)  # SHARDS rows a target at most
+        order = Window.partitionBy(*key).orderBy(F.xxhash64("doc_id", F.lit(self.seed + 1)), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+        upto = F.col("start") + F.sum("n_tokens").over(order)
+        once = (F.col("rest") > 0) & F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False))
+        inside = d.where("bucket = edge").withColumn("more", (F.col("rest") > 0) & (upto - F.col("n_tokens") / 2 <= F.col("rest")))
+        d = d.where("edge is null or bucket <> edge").withColumn("more", once).unionByName(inside)
+        d = d.withColumn("copies", F.least(F.col("whole") + F.col("more").cast("bigint"), F.col("most").cast("bigint")))
+        return d.where("copies > 0").select(F.col("name").alias("source"), "doc_id", "n_tokens", "copies")
 
     def shares(self) -> DataFrame:
         """One row for each target: asked, held, given and actual tokens, actual share, unreachable."""
         spark = self.counts.sparkSession
         plan = spark.createDataFrame(
             [(t[0], t[1], t[2], self.asked[k], self.tokens[k], self.blocks[k], self.wished[k], self.asked[k] > self.capacity[k]) for k, t in self.targets.items()],
-            "source string, target_share double, max_repeats int, asked_tokens double, held_tokens bigint, quota_blocks bigint, wished_blocks bigint, unreachable boolean",
+            "source string, target_share double, max_repeats int, asked_tokens bigint, held_tokens bigint, quota_blocks bigint, wished_blocks bigint, unreachable boolean",
         )
         got = self.documents().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"), F.count("*").alias("n_documents"))
         got = plan.join(got, "source", "left").fillna(0, ["mix_tokens", "n_documents"])
@@ -162,5 +170,5 @@ class Mix:
 
 
 def found(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sources that the apportionment can't fill: asked for more tokens than max_repeats times what they hold."""
+    """Sources that win more blocks of one token than max_repeats times what they hold."""
     return Mix(documents, targets).shares().where("unreachable").select("source").distinct()
