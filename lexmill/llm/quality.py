@@ -3,9 +3,11 @@
 Each record gets the statistics STATS. Per language, mean and covariance of prose are estimated robustly over all
 records: the start is median and MAD, then STEPS concentration steps each take the moments of the records within CUT of
 the last estimate. A record's squared distance splits into one part per statistic (z * inverse covariance * z), which
-tells why it is no prose. Records beyond FAR whose distance comes from structure are given a form: list, table or junk,
-each confirmed by what defines it (share of characters in short entries, share of rows with the same fields, share of
-characters in no known word).
+tells why it is no prose. Only records beyond FAR have a form. The evidence for each form is the sum of the parts of the
+statistics it shows in (EVIDENCE); the form with most evidence is taken if that is beyond what nearly all records within
+FAR have for it (LEAST, fitted on the distribution of the parts) and the record is what the form's definition says: two
+thirds of the characters in short entries, rows with the same fields, or strings instead of words. What is usual in a
+language so is no form there: where all prose stands in short lines, short lines make no list.
 
 Common words of a language and the known words come from the language model (llm.language), fitted on a bounded sample.
 Null, empty and blank texts have statistics of zero and no form.
@@ -30,8 +32,18 @@ FLOOR = np.array([0.5, 0.35, 0.03, 0.15, 0.06, 0.08, 0.05, 0.05])
 CUT, FAR, STEPS = 20.09, 26.12, 2  # chi-square with 8 degrees of freedom: 0.99, 0.999
 LIST_SHARE, ROW_SHARE, JUNK_SHARE, JUNK_WORDS = 2 / 3, 0.6, 0.85, 0.03
 ENTRY_CHARS, ENTRY_WORDS = 80, 9
+#: Statistics whose parts speak for each form.
+EVIDENCE = {
+    "junk": ("unknown_share", "common_share", "symbol_ratio", "mean_word_length"), "table": ("row_share", "entry_share"), "list": ("entry_share", "punct_line_share"),
+}
+FORMS = tuple(EVIDENCE)
+WEIGHTS = np.array([[c in of for of in EVIDENCE.values()] for c in STATS], float)
+LEAST = 0.999
 END = re.compile(r"[.!?…][\"'”»)\]*_]*$")
-SEPARATORS = (re.compile(r"\|"), re.compile(r"\t"), re.compile(r";"), re.compile(r","), re.compile(r" {2,}"), re.compile(r" [/·:~] "))
+#: What may split fields: a tab, wide gaps, ; or , or a bar of any kind, any other sign between blanks.
+SEPARATOR = re.compile(r"\t| {2,}|[;,|¦│┃║‖︱｜]| [^\w\s.…!?\"'()\[\]%$€£&+\-–—] ")
+LOOSE = ("\t", "  ")
+BARS = "|¦│┃║‖︱｜"
 
 SCHEMA = "row_id bigint, lang string, n_words bigint, n_known bigint, n_lines bigint, x array<double>"
 
@@ -46,13 +58,14 @@ def row_share(lines: list[str]) -> float:
     if len(lines) < 3:
         return best
     size = sum(map(len, lines))
-    for sep in SEPARATORS:
-        n = [len(sep.findall(x)) for x in lines]
+    found = [Counter("  " if m.isspace() and m != "\t" else m.strip(" ") for m in SEPARATOR.findall(x)) for x in lines]
+    for sep in set().union(*found):
+        n = [c[sep] for c in found]
         mode, rows = Counter(k for k in n if k > 1).most_common(1)[0] if any(k > 1 for k in n) else (0, 0)
         if rows < 3:
             continue
         # Fields are short; sentences with as many commas aren't rows.
-        near = [x for x, k in zip(lines, n) if abs(k - mode) <= (2 if sep.pattern in (r"\|", r" {2,}", r"\t") else 0)]
+        near = [x for x, k in zip(lines, n) if abs(k - mode) <= (2 if sep in LOOSE or sep in BARS else 0)]
         if sum(len(x.split()) for x in near) <= 4 * (mode + 1) * len(near) and sum(bool(END.search(x)) for x in near) <= 0.3 * len(near):
             best = max(best, sum(map(len, near)) / size)
     return best
@@ -119,11 +132,17 @@ def statistics(records: DataFrame, model: language.Model) -> DataFrame:
     return map_texts(records.withColumn("text", F.coalesce("text", F.lit(""))), SCHEMA, make, "row_id", "text")
 
 
+def inverse(c: np.ndarray) -> np.ndarray:
+    """Inverse covariance, with a deviation of FLOOR at least in every direction."""
+    values, axes = np.linalg.eigh(c / np.outer(FLOOR, FLOOR))
+    return (axes / np.maximum(values, 1)) @ axes.T / np.outer(FLOOR, FLOOR)
+
+
 class Shape:
     """Mean and inverse covariance for each language; a pooled one for the rest."""
 
     def __init__(self, parts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.parts = {k: (m, np.linalg.inv(c + np.diag(FLOOR**2))) for k, (m, c) in parts.items()}
+        self.parts = {k: (m, inverse(c)) for k, (m, c) in parts.items()}
 
     def split(self, lang: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Parts of the squared distance by statistic."""
@@ -173,23 +192,41 @@ def fit_shape(stats: DataFrame) -> Shape:
     return shape
 
 
-def form_of(x: np.ndarray, parts: np.ndarray, n_words: int, n_known: int) -> str | None:
-    """list, table or junk for an outlier of that structure."""
+def fit_least(stats: DataFrame, shape: Shape) -> np.ndarray:
+    """For each form the evidence that a share LEAST of the records within FAR doesn't exceed; over all records, by percentiles."""
+    shared = stats.sparkSession.sparkContext.broadcast(shape)
+
+    def near(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            parts = shared.value.split(np.array(b.column(0).to_pylist()), np.array(b.column(1).to_pylist()).reshape(-1, len(STATS)))
+            e = (parts @ WEIGHTS)[parts.sum(1) <= FAR]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in e.T], names=list(FORMS))
+
+    rows = stats.where("n_lines > 0").select("lang", "x").mapInArrow(near, ", ".join(f"{f} double" for f in FORMS))
+    got = rows.agg(*(F.percentile_approx(f, LEAST, 10_000).alias(f) for f in FORMS)).first()
+    return np.array([got[f] or 0.0 for f in FORMS])
+
+
+def form_of(x: np.ndarray, parts: np.ndarray, n_words: int, n_known: int, least: np.ndarray) -> str | None:
+    """The form with most evidence in the parts of an outlier's distance, if the record meets its definition."""
     if parts.sum() <= FAR:
         return None
-    if x[7] >= JUNK_SHARE and parts[7] > FAR / 4 and n_known <= max(2, JUNK_WORDS * n_words):
-        return "junk"
-    if x[6] >= ROW_SHARE and parts[6] > FAR / 4:
-        return "table"
-    if x[5] >= LIST_SHARE and parts[5] > FAR / 4:
-        return "list"
-    return None
+    evidence = parts @ WEIGHTS
+    k = int(evidence.argmax())
+    if evidence[k] <= least[k]:
+        return None
+    meets = {"junk": x[7] >= JUNK_SHARE and n_known <= max(2, JUNK_WORDS * n_words), "table": x[6] >= ROW_SHARE, "list": x[5] >= LIST_SHARE}
+    return FORMS[k] if meets[FORMS[k]] else None
 
 
 def measured(records: DataFrame, labels: DataFrame, model: language.Model | None = None) -> DataFrame:
     """(row_id, lang, n_words, n_lines, STATS..., distance, a part for each of STATS, form)."""
     stats = cut(statistics(records, model or language.train(records, labels)))
-    shape = stats.sparkSession.sparkContext.broadcast(fit_shape(stats))
+    fitted = fit_shape(stats)
+    least = fit_least(stats, fitted)
+    shape = stats.sparkSession.sparkContext.broadcast(fitted)
     head = "row_id bigint, lang string, n_words bigint, n_lines bigint, "
     schema = head + ", ".join(f"{c} double" for c in STATS) + ", distance double, " + ", ".join(f"part_{c} double" for c in STATS) + ", form string"
 
@@ -202,7 +239,7 @@ def measured(records: DataFrame, labels: DataFrame, model: language.Model | None
             lang, n, known = np.array(b.column(1).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist()
             x = np.array(b.column(5).to_pylist()).reshape(-1, len(STATS))
             parts = shape.value.split(lang, x)
-            form = [form_of(x[k], parts[k], n[k], known[k]) if b.column(4)[k].as_py() else None for k in range(len(n))]
+            form = [form_of(x[k], parts[k], n[k], known[k], least) if b.column(4)[k].as_py() else None for k in range(len(n))]
             cols = [b.column(0), b.column(1), b.column(2), b.column(4), *map(pa.array, x.T), pa.array(parts.sum(1)), *map(pa.array, parts.T), pa.array(form, pa.string())]
             names = ["row_id", "lang", "n_words", "n_lines", *STATS, "distance", *(f"part_{c}" for c in STATS), "form"]
             yield pa.RecordBatch.from_arrays(cols, names=names)

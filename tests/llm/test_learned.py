@@ -90,6 +90,21 @@ def test_forms(spark, tables):
     assert quality.found(records.limit(0), labels).count() == 0
 
 
+def test_forms_by_distance(spark, tables):
+    # All Italian prose stands in short lines without an end: the shares alone would make each a list, the distance from Italian prose does not.
+    r = random.Random(6)
+    wrap = lambda w: "\n".join(" ".join(w[k : k + 5]) for k in range(0, len(w), 5))
+    verse = [(k, wrap(" ".join(sentence(r, "it", "food")[:-7] for _ in range(8)).replace(",", "").split())) for k in range(60)]
+    prose = [(k, t) for k, t, g, _ in tables[0] if g == "en"]
+    bars = "\n".join(f"{w} │ {k * 7} │ yes │ {k}.5" for k, w in enumerate(SUBJECTS["law"] * 3))
+    noise = "\n".join("".join(random.Random(k).choices("|;,~^#<>{}+=", k=60)) for k in range(30))
+    rows = [(3000 + k, t) for k, t in verse] + prose + [(2003, LIST), (2004, bars), (2005, noise)]
+    records = spark.createDataFrame(rows, "row_id bigint, text string")
+    labels = spark.createDataFrame([(k, "it" if k >= 3000 else "en", 0.9, 0) for k, _ in rows if k not in (2003, 2004, 2005)], "row_id bigint, lang string, lang_conf double, at int").selectExpr("row_id", "lang", "lang_conf", "timestamp_seconds(at) detected_at")
+    assert all(quality.entry_share(quality.lines_of(t)) >= quality.LIST_SHARE for _, t in verse)
+    assert {x.row_id: x.form for x in quality.found(records, labels).collect()} == {2003: "list", 2004: "table", 2005: "junk"}
+
+
 ERRORS = ["Error 404: the page could not be found. Go back to the front page.", "Please enable JavaScript to view this page.", "The request timed out. Go back to the front page."]
 
 
