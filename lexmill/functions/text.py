@@ -1,4 +1,4 @@
-"""Text as Spark columns; all JVM-side. A null text counts as empty."""
+"""Text as Spark columns, JVM-side but for HTML entities in texts that have some. A null text counts as empty."""
 
 from __future__ import annotations
 
@@ -6,20 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill import config as C
+from lexmill.functions.python import unescape
 
 #: White space as Python's str.split sees it, as the inside of a character class that Java and RE2 both read.
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same characters one by one.
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-FENCE = r"(?i)```|~~~|<code>|</code>|&lt;/?code&gt;"
-CODE_WORD = r"\b(def|function|public|private|package|namespace|var|let|const|struct|enum)\b"
-BRACKET_LINE = r"^\s*[\[\{]|^[\]\}]\s*[,;]?\s*$"
-QUERY_LINE = r"^(SELECT |INSERT |UPDATE |DELETE |CREATE TABLE|DROP )"
-COMMENT_LINE = r"^(#include|#!|//|/\*|\*/|\$)"
 TAG = r"</?[a-zA-Z][^>]*>"
 URL, ANY_URL = r"https?://[^" + SPACE + "]+", r"https?://[^" + SPACE + r"]+|www\.[^" + SPACE + "]+"
 ELLIPSIS = r"\.{3}|\x{2026}"
-HEADING = r"(?m)^[A-Z][A-Z\s]{4,40}$"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def text(c: Column) -> Column:
@@ -32,7 +28,7 @@ def let(c: Column, f) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:
@@ -72,12 +68,9 @@ def strip_boilerplate(c: Column) -> Column:
 
 
 def strip_html(c: Column) -> Column:
-    """Comments and tags become a blank, then the entities of a closed list are read."""
+    """Comments and tags become a blank, then all entities are read."""
     tags = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", " "), "<[^>]*>", " ")
-    out = F.when(c.contains("<"), tags).otherwise(c)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(c.rlike("[<&]"), out).otherwise(c)
+    return unescape(F.when(c.contains("<"), tags).otherwise(c), c.contains("&"))
 
 
 def strip_control(c: Column) -> Column:
@@ -99,17 +92,17 @@ def normalize(c: Column) -> Column:
 
 def code_line(s: Column) -> Column:
     return (
-        s.rlike(COMMENT_LINE)
-        | (s.rlike(CODE_WORD) & s.rlike(r"[{}();\[\]<>]"))
-        | s.rlike(BRACKET_LINE)
-        | F.upper(F.substring(s, 1, 16)).rlike(QUERY_LINE)
+        s.rlike(C.COMMENT_LINE)
+        | (s.rlike(C.CODE_WORD) & s.rlike(r"[{}();\[\]<>]"))
+        | s.rlike(C.BRACKET_LINE)
+        | F.upper(F.substring(s, 1, 16)).rlike(C.QUERY_LINE)
         | (chars_in(s, "{}();<>/=+-") / F.greatest(F.length(s), F.lit(1)) > 0.35)
     )
 
 
 def looks_like_code(c: Column) -> Column:
     sizes = let(lines(c), lambda rows: F.struct(F.size(rows).alias("n"), F.size(F.filter(rows, code_line)).alias("k")))
-    return c.rlike(FENCE) | let(sizes, lambda s: (s["n"] > 0) & ((s["k"] / F.greatest(s["n"], F.lit(1)) > 0.3) | (s["k"] >= 5)))
+    return c.rlike(C.FENCE) | let(sizes, lambda s: (s["n"] > 0) & ((s["k"] / F.greatest(s["n"], F.lit(1)) > 0.3) | (s["k"] >= 5)))
 
 
 def sanitize(c: Column) -> Column:
@@ -132,23 +125,31 @@ def keyword_count(c: Column) -> Column:
     return F.size(F.array_intersect(F.array_distinct(words(F.lower(c))), F.array(*map(F.lit, C.CODE_KEYWORDS))))
 
 
+def longest(w: Column) -> Column:
+    """Length of the longest of the words w."""
+    return F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0))
+
+
 def longest_word(c: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(words(c), F.length)), F.lit(0))
+    return longest(words(c))
 
 
-def max_ngram_repeats(c: Column, n: int = C.REPEAT_WORDS) -> Column:
-    """How often the most frequent run of n words occurs; within the row, so without a shuffle."""
+def repeats(w: Column, n: int = C.REPEAT_WORDS) -> Column:
+    """How often the most frequent run of n of the words w occurs; within the row, so without a shuffle."""
     start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(a: Column, x: Column) -> Column:
         run = F.when(x.eqNullSafe(a["last"]), a["run"] + 1).otherwise(F.lit(1))
         return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
 
-    def most(w: Column) -> Column:
-        runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n))))
-        return F.when(F.size(w) < n, F.lit(0)).otherwise(F.aggregate(runs, start, step, lambda a: a["best"]))
+    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))
+    # Most texts repeat none; only those with a repeated hash are sorted and folded.
+    most = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(1)).otherwise(F.aggregate(F.array_sort(h), start, step, lambda a: a["best"])))
+    return F.when(F.size(w) < n, F.lit(0)).otherwise(most)
 
-    return let(words(c), most)
+
+def max_ngram_repeats(c: Column, n: int = C.REPEAT_WORDS) -> Column:
+    return let(words(c), lambda w: repeats(w, n))
 
 
 def char_grams(c: Column, n: int = C.OVERLAP_CHARS) -> Column:
@@ -172,11 +173,7 @@ def mean_line_length(c: Column) -> Column:
 
 def tags(c: Column) -> Column:
     """Artifact tags in fixed order."""
-    found = (
-        ("html", r"</?[a-zA-Z][^>]{0,200}>"), ("code", r"(?s)```.+?```|<code>|</code>|&lt;code&gt;"), ("header", r"(?im)^(title|category|comments?|permalink|posted by|tags):"),
-        ("stacktrace", r"(?i)Traceback \(most recent call last\)|Exception in thread"), ("non_ascii", r"[^\t\n\r\x20-\x7e]"),
-    )
-    return F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(t)) for t, p in found)))
+    return F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(t)) for t, p in C.ARTIFACTS)))
 
 
 def boilerplate_tag(line: Column) -> Column:

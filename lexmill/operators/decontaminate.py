@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill import config as C
 from lexmill.functions import text as T
 from lexmill.functions.python import nfc
-from lexmill.plans.stage import anti_join, cut, left_join
+from lexmill.plans.stage import cut, left_join
+
+
+def fingerprint(c: Column) -> Column:
+    """SHA-1 of the normalized text, null if that is empty."""
+    return T.let(T.normalize(nfc(c)), lambda n: F.when(n != "", F.sha1(F.encode(n, "utf-8"))))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, fp): SHA-1 of the normalized text, null if that is empty."""
-    n = T.normalize(nfc(T.text(F.col("text"))))
-    return df.select(key, n.alias("n")).select(key, F.when(F.col("n") != "", F.sha1(F.encode("n", "utf-8"))).alias("fp"))
+    """(key, fp) of each row."""
+    return df.select(key, fingerprint(F.col("text")).alias("fp"))
 
 
 def index_of(items: DataFrame) -> DataFrame:
@@ -28,13 +32,6 @@ def status(df: DataFrame, items: DataFrame) -> DataFrame:
     return rows.select("doc_id", "fp", F.when(F.col("fp").isNull(), "empty_after_normalize").when(F.col("hit"), "test_overlap").otherwise("kept").alias("status"))
 
 
-def clean(df: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of df whose fingerprint is neither empty nor an item's; df is read once."""
-    n = T.normalize(nfc(T.text(F.col("text"))))
-    d = df.withColumn("_n", n).where(F.col("_n") != "").withColumn("_fp", F.sha1(F.encode("_n", "utf-8"))).drop("_n")
-    return anti_join(d, index_of(items).withColumnRenamed("fp", "_fp"), ["_fp"]).drop("_fp")
-
-
 def char_overlap(df: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, n_grams, n_matched, ratio, contaminated): distinct 13-character runs that also stand in an item.
 

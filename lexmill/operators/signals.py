@@ -27,7 +27,7 @@ def signals(df: DataFrame) -> DataFrame:
         r(T.count(t, T.ANY_URL) / w).alias("url_per_word"),
         r(T.count(t, r"\p{Nd}") / F.greatest(F.length(t), F.lit(1))).alias("digit_ratio"),
         F.greatest(F.lit(1), F.size(F.split(t, "\n\n")) - 1).cast("bigint").alias("paragraphs"),
-        T.count(t, T.HEADING).cast("bigint").alias("headings"),
+        T.count(t, C.HEADING).cast("bigint").alias("headings"),
         r(T.chars_in(t, '"') / w).alias("quotes_per_word"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lexmill import config as C
 from lexmill.functions import text as T
+from lexmill.functions.labels import normal_label
 
 
 def code_status(c: Column) -> Column:
@@ -23,12 +24,13 @@ def code_status(c: Column) -> Column:
 
 def quality_status(c: Column) -> Column:
     c = T.text(c)
-    return (
-        F.when(F.size(T.words(c)) < C.MIN_WORDS, "too_few_words")
+    return T.let(
+        T.words(c),
+        lambda w: F.when(F.size(w) < C.MIN_WORDS, "too_few_words")
         .when(F.length(c) < C.MIN_CHARS, "too_few_chars")
-        .when(T.longest_word(c) > C.MAX_WORD, "unnatural_word")
-        .when(T.max_ngram_repeats(c) > C.MAX_REPEATS, "ngram_repetition")
-        .otherwise("kept")
+        .when(T.longest(w) > C.MAX_WORD, "unnatural_word")
+        .when(T.repeats(w) > C.MAX_REPEATS, "ngram_repetition")
+        .otherwise("kept"),
     )
 
 
@@ -53,48 +55,44 @@ def sanitized(df: DataFrame) -> DataFrame:
 PHASES = ("sanitize", "language", "code", "quality", "ellipsis")
 
 
-def _verdict(clean: str, lang: str, config: C.Config, confidence: str | None = None) -> Column:
-    """(phase, reason) of the first phase that drops a document with this sanitized text. In classifier mode code and quality are left to models."""
-    c = F.col(clean)
-    known = F.lower(F.coalesce(lang, F.lit(""))) == config.language
-    if confidence:
-        share = F.when(F.col(confidence) > 1, F.col(confidence) / 100).otherwise(F.col(confidence))
-        known = known & F.coalesce(share >= config.min_confidence, F.lit(False))
-    by_phase = {
-        "sanitize": sanitize_status(c),
-        "language": F.when(known, "kept").otherwise("other_language"),
-        "code": code_status(c) if config.filter_mode == "heuristic" else F.lit("kept"),
-        "quality": quality_status(c) if config.filter_mode == "heuristic" else F.lit("kept"),
-        "ellipsis": ellipsis_status(c),
-    }
-    out = F.struct(F.lit("kept").alias("phase"), F.lit("kept").alias("reason"))
-    for phase in PHASES:
-        if phase not in config.skip:
-            status = F.struct(F.lit(phase).alias("phase"), by_phase[phase].alias("reason"))
-            out = F.when(out["reason"] == "kept", status).otherwise(out)
-    return out
+def known_language(lang: Column, confidence: Column | None, config: C.Config) -> Column:
+    """'kept' for the language of config in any notation, with its confidence or more if one is given (percents are read as shares), else 'other_language'."""
+    known = normal_label(lang) == config.language
+    if confidence is not None:
+        known = known & (F.when(confidence > 1, confidence / 100).otherwise(confidence) >= config.min_confidence)
+    return F.when(F.coalesce(known, F.lit(False)), "kept").otherwise("other_language")
+
+
+def first_failure(phases: dict[str, Column]) -> Column:
+    """(phase, reason) of the first status column that isn't 'kept', else ('kept', 'kept'). Each is looked at once, those after it not at all."""
+    failed = [T.let(s, lambda x, p=p: F.when(x != "kept", F.struct(F.lit(p).alias("phase"), x.alias("reason")))) for p, s in phases.items()]
+    return F.coalesce(*failed, F.struct(F.lit("kept").alias("phase"), F.lit("kept").alias("reason")))
+
+
+def row_phases(clean: Column, lang: Column, confidence: Column | None, config: C.Config) -> dict[str, Column]:
+    """Status column of each phase of PHASES that config doesn't skip, for a sanitized text. In other filter modes than heuristic, code and quality are left out."""
+    every = {
+        "sanitize": sanitize_status(clean), "language": known_language(lang, confidence, config), "code": code_status(clean), "quality": quality_status(clean),
+        "ellipsis": ellipsis_status(clean),
+    }
+    left_out = set(config.skip) | (set() if config.filter_mode == "heuristic" else {"code", "quality"})
+    return {p: s for p, s in every.items() if p not in left_out}
 
 
 def verdicts(df: DataFrame, config: C.Config | None = None) -> DataFrame:
     """doc_id and the first phase that drops the document with its reason; one pass, phases after the first failure aren't looked at.
 
-    df: doc_id, text, lang and, if given, lang_conf, which must be config.min_confidence or more; percents are read as shares.
-    A null lang is no language. Phases in config.skip are left out.
+    df: doc_id, text, lang and, if given, lang_conf, which must be config.min_confidence or more. A null lang is no language.
+    Phases in config.skip are left out; the verdicts of models are in plans.pipeline.
     """
     config = config or C.Config()
     if config.filter_mode == "classifier":
-        raise ValueError("verdicts by models: only plans.pipeline.curate has the classifier mode")
-    confidence = [c for c in ("lang_conf",) if c in df.columns]
-    s = df.select("doc_id", "lang", *confidence, T.sanitize(T.text(F.col("text"))).alias("clean"))
-    s = s.select("doc_id", _verdict("clean", "lang", config, *confidence).alias("v"))
-    return s.select("doc_id", F.when(F.col("v.reason") == "kept", "kept").otherwise(F.col("v.phase")).alias("phase"), F.col("v.reason").alias("reason"))
-
-
-def passed(df: DataFrame, *columns: str, config: C.Config | None = None) -> DataFrame:
-    """The columns, and the sanitized text as `text`, of the documents that no phase drops; the same one pass."""
-    confidence = ["_conf"] if "lang_conf" in df.columns else []
-    s = df.select(*columns, F.col("lang").alias("_lang"), *(F.col("lang_conf").alias(c) for c in confidence), T.sanitize(T.text(F.col("text"))).alias("_clean"))
-    return s.where(_verdict("_clean", "_lang", config or C.Config(), *confidence)["reason"] == "kept").select(*columns, F.col("_clean").alias("text"))
+        raise ValueError("verdicts by models: only plans.pipeline has the classifier mode")
+    confidence = F.col("lang_conf") if "lang_conf" in df.columns else F.lit(None).cast("double")
+    s = df.select("doc_id", F.col("lang").alias("lang"), confidence.alias("conf"), T.sanitize(T.text(F.col("text"))).alias("clean"))
+    conf = F.col("conf") if "lang_conf" in df.columns else None
+    v = T.let(F.col("clean"), lambda c: first_failure(row_phases(c, F.col("lang"), conf, config)))
+    return s.select("doc_id", v.alias("v")).select("doc_id", "v.phase", "v.reason")
 
 
 def funnel(df: DataFrame, config: C.Config | None = None) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import config as C
 from lexmill.functions import text as T
+from lexmill.functions.labels import NAMES, UNKNOWN
 from lexmill.functions.python import nfc
 from lexmill.operators import classify, decontaminate, dedup, lm, packing, runs, sampling, signals, status, training
 from lexmill.plans import pipeline
@@ -75,12 +78,35 @@ def s_boiler(x):
     return f"array_to_string(list_filter({s_lines(x)}, lambda s: not ({s_prefix('lower(s)')})), chr(10))"
 
 
+def s_list(values):
+    return "[" + ", ".join(map(q, values)) + "]"
+
+
+#: Every named entity of HTML 5, those that need no semicolon, and what the numbers stand for that are no characters.
+_NAMED = sorted(html5.items())
+_BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+_ODD = sorted((n, html.unescape(f"&#{n};")) for n in [*range(32), *range(127, 160)] if html.unescape(f"&#{n};") != chr(n))
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def s_unescape(x):
+    digits = "case when e[3:3] in ('x', 'X') then try_cast('0x' || regexp_extract(e, '[xX]([0-9a-fA-F]+)', 1) as bigint) else try_cast(regexp_extract(e, '[0-9]+') as bigint) end"
+    odd = f"{s_list([c for _, c in _ODD])}[list_position([{', '.join(str(n) for n, _ in _ODD)}], n)]"
+    none = "(n between 64976 and 65007 or (n >= 65534 and n % 65536 in (65534, 65535)) or n = 11)"
+    number = f"list_transform([{digits}], lambda n: coalesce({odd}, case when n is null or n between 55296 and 57343 or n > 1114111 then chr(65533) when {none} then '' else chr(n::int) end))[1]"
+    bare = f"list_filter({s_list(_BARE)}, lambda k: starts_with(e[2:], k))[1]"
+    values, keys = s_list([v for _, v in _NAMED]), s_list([k for k, _ in _NAMED])
+    name = f"coalesce({values}[list_position({keys}, e[2:])], list_transform([{bare}], lambda k: {values}[list_position({keys}, k)] || e[2 + length(k):])[1], e)"
+    one = f"list_transform([es[i]], lambda e: case when e is null then '' when e[2:2] = '#' then {number} else {name} end)[1]"
+    return (
+        f"list_transform([{x}], lambda t: case when contains(t, '&') then list_transform([regexp_extract_all(t, {q(_ENTITY)})], lambda es: list_transform([string_split_regex(t, {q(_ENTITY)})],"
+        f" lambda ps: array_to_string(list_transform(range(1, len(ps) + 1), lambda i: ps[i] || {one}), ''))[1])[1] else t end)[1]"
+    )
+
+
 def s_html(x):
     tags = f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-    out = f"(case when contains({x}, '<') then {tags} else {x} end)"
-    for name, char in T.ENTITIES:
-        out = f"replace({out}, {q(name)}, {q(char)})"
-    return f"(case when regexp_matches({x}, '[<&]') then {out} else {x} end)"
+    return s_unescape(f"(case when contains({x}, '<') then {tags} else {x} end)")
 
 
 def s_control(x):
@@ -105,11 +131,11 @@ def s_sanitize(x):
 
 def s_code(x):
     line = (
-        f"(regexp_matches(s, {q(T.COMMENT_LINE)}) or (regexp_matches(s, {q(T.CODE_WORD)}) and regexp_matches(s, '[{{}}();\\[\\]<>]')) or regexp_matches(s, {q(T.BRACKET_LINE)})"
-        f" or regexp_matches(upper(s[1:16]), {q(T.QUERY_LINE)}) or {s_chars('s', '{}();<>/=+-')} / greatest(length(s), 1) > 0.35)"
+        f"(regexp_matches(s, {q(C.COMMENT_LINE)}) or (regexp_matches(s, {q(C.CODE_WORD)}) and regexp_matches(s, '[{{}}();\\[\\]<>]')) or regexp_matches(s, {q(C.BRACKET_LINE)})"
+        f" or regexp_matches(upper(s[1:16]), {q(C.QUERY_LINE)}) or {s_chars('s', '{}();<>/=+-')} / greatest(length(s), 1) > 0.35)"
     )
     n, k = f"len({s_lines(x)})", f"len(list_filter({s_lines(x)}, lambda s: {line}))"
-    return f"(regexp_matches({x}, {q(T.FENCE)}) or ({n} > 0 and ({k} / greatest({n}, 1) > 0.3 or {k} >= 5)))"
+    return f"(regexp_matches({x}, {q(C.FENCE)}) or ({n} > 0 and ({k} / greatest({n}, 1) > 0.3 or {k} >= 5)))"
 
 
 def s_density(x):
@@ -155,6 +181,14 @@ def s_quality(x, r):
     )
 
 
+def s_label(x):
+    """Delivered label x as a key of NAMES, another code, or null; see functions.labels."""
+    low = f"regexp_replace(lower(trim({x})), '^__label__', '')"
+    code = f"(case when {low} in ({', '.join(map(q, UNKNOWN))}) then null else regexp_replace({low}, '[-_].*$', '') end)"
+    whens = " ".join(f"when {code} in ({', '.join(map(q, names))}) then {q(c)}" for c, names in NAMES.items())
+    return f"(case {whens} else {code} end)"
+
+
 def s_clean_status(x):
     return f"(case when {x} = '' then 'empty_after_clean' when {s_code(x)} then 'code_snippet' else 'kept' end)"
 
@@ -213,7 +247,7 @@ def _(spark, d):
 
 
 _VERDICT = f"""with c as materialized (select doc_id, lang, {s_sanitize(TXT)} c from documents), s as materialized (select doc_id, {s_clean_status('c')} s1,
- case when lower(coalesce(lang, '')) = 'en' then 'kept' else 'other_language' end s2, {s_code_status('c')} s3, {s_quality('c', 'r')} s4, {s_ellipsis('c')} s5
+ case when {s_label('lang')} = 'en' then 'kept' else 'other_language' end s2, {s_code_status('c')} s3, {s_quality('c', 'r')} s4, {s_ellipsis('c')} s5
  from c left join {s_repeats('c', 'c')} x using (doc_id)),
 v as (select doc_id, case when s1 <> 'kept' then 'sanitize' when s2 <> 'kept' then 'language' when s3 <> 'kept' then 'code' when s4 <> 'kept' then 'quality' when s5 <> 'kept' then 'ellipsis' else 'kept' end phase,
  case when s1 <> 'kept' then s1 when s2 <> 'kept' then s2 when s3 <> 'kept' then s3 when s4 <> 'kept' then s4 else s5 end reason from s)"""
@@ -225,7 +259,7 @@ def _(spark, d):
 
 
 @add(
-    "filter_funnel",
+    "row_phase_funnel",
     _VERDICT + ", p as (select * from (values (0, 'input'), (1, 'sanitize'), (2, 'language'), (3, 'code'), (4, 'quality'), (5, 'ellipsis')) t(step, phase))"
     " select p.step, p.phase, false skipped, cast((select count(*) from v) - (select count(*) from v join p o on v.phase = o.phase where o.step <= p.step) as bigint) n_left from p",
 )
@@ -241,7 +275,7 @@ def _(spark, d):
 @add(
     "language_confidence_filter",
     "with l as (select *, row_number() over (partition by row_id order by detected_at desc nulls last, lang_conf desc nulls last, lang desc nulls last) k from detect_language_batch)"
-    " select row_id, lower(lang) lang, round(case when lang_conf > 1 then lang_conf / 100 else lang_conf end, 6) conf from l where k = 1 and lower(lang) = 'en' and round(case when lang_conf > 1 then lang_conf / 100 else lang_conf end, 6) >= 0.8",
+    f" select row_id, {s_label('lang')} lang, round(case when lang_conf > 1 then lang_conf / 100 else lang_conf end, 6) conf from l where k = 1 and {s_label('lang')} = 'en' and round(case when lang_conf > 1 then lang_conf / 100 else lang_conf end, 6) >= 0.8",
 )
 def _(spark, d):
     return classify.labelled_language(table(spark, d, "detect_language_batch"))
@@ -470,16 +504,47 @@ def _(spark, d):
     return packing.tokenize(table(spark, d, "documents")).select("doc_id", "n_tokens")
 
 
-@add("curation_pipeline")
-def _(spark, d):
+# The pipeline phase by phase; near-duplicates by comparing all pairs with a shingle in common.
+_PIPE = f"""with recursive a0 as materialized (select d.doc_id, d.text, d.lang, {_TOPIC} topic from documents d join {s_fp('doc_id', 'documents')} f using (doc_id)
+  where fp is not null and fp not in (select fp from {s_fp('item_id', 'benchmark')} where fp is not null)),
+ c1 as materialized (select doc_id, lang, topic, {s_sanitize(TXT)} c from a0), a1 as materialized (select * from c1 where {s_clean_status('c')} = 'kept'),
+ a2 as materialized (select * from a1 where {s_label('lang')} = 'en'), t as (select * from a2 where topic in ({', '.join(map(q, _TOPICS.topic_classes))})),
+ w as (select * from (values {_TARGETS}) x(topic, w)), r as (select t.*, w.w, row_number() over (partition by t.topic order by {s_key(_TOPICS.seed)}, doc_id) k from t left join w using (topic)),
+ a3 as materialized (select doc_id, c from r where w is null or k <= floor((select count(*) from t) * w)), a4 as materialized (select * from a3 where {s_code_status('c')} = 'kept'),
+ a5 as materialized (select a4.* from a4 left join {s_repeats('a4', 'c')} x using (doc_id) where {s_quality('c', 'r')} = 'kept'),
+ sw as materialized (select doc_id, {s_words('lower(c)')} w from a5),
+ sh as materialized (select distinct doc_id, case when len(w) < {C.SHINGLE} then array_to_string(w, ' ') else array_to_string(w[i:i+{C.SHINGLE - 1}], ' ') end g from sw x, lateral (select unnest(range(1, greatest(len(x.w) - {C.SHINGLE - 2}, 2))) i) where len(w) > 0),
+ n as materialized (select doc_id, count(*) n from sh group by 1),
+ o as materialized (select x.doc_id a, y.doc_id b, count(*) k from sh x join sh y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+ e as materialized (select a, b from o join n p on p.doc_id = a join n q on q.doc_id = b where k / (p.n + q.n - k) >= {C.SIMILAR}),
+ both_ as materialized (select a x, b y from e union select b, a from e), cc as (select x id, x root from both_ union select b.y, cc.root from cc join both_ b on cc.id = b.x where cc.root < b.y),
+ cl as (select id doc_id, min(root) cluster from cc group by 1), a6 as materialized (select * from a5 where doc_id not in (select doc_id from cl where doc_id <> cluster)),
+ a7 as (select * from a6 where {s_ellipsis('c')} = 'kept')"""
+
+
+def curation(spark, d, topic=True, **config):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", F.lower(F.trim("source")).alias("topic"))
-    return pipeline.curate(docs, table(spark, d, "benchmark"), topic="topic").select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+    return pipeline.Curation(docs, table(spark, d, "benchmark"), C.Config(**config), topic="topic" if topic else None)
+
+
+@add("curation_pipeline", _PIPE + " select doc_id, length(c)::bigint n_chars from a7")
+def _(spark, d):
+    return curation(spark, d).kept.select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@add("filter_funnel", _PIPE + " " + " union all ".join(f"select {k} step, {q(p)} phase, false skipped, count(*) n_left from {f}" for k, (p, f) in enumerate(zip(("input", *pipeline.PHASES), ("documents", *(f"a{k}" for k in range(8)))))))
+def _(spark, d):
+    return curation(spark, d).funnel(tokens=False)
+
+
+@add("funnel_to_tokens")
+def _(spark, d):
+    return curation(spark, d).funnel()
 
 
 @add("curated_tokens")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    return pipeline.tokens(pipeline.curate(docs, table(spark, d, "benchmark"))).select("doc_id", "n_tokens")
+    return curation(spark, d, topic=False).tokens().select("doc_id", "n_tokens")
 
 
 # ---- signals ---------------------------------------------------------------------------------------------------------
@@ -506,7 +571,7 @@ _SIGNALS = f"""select doc_id, round({s_count(TXT, signals.PUNCTUATION)} / {_N},
  round(case when len({_LINES}) = 0 then 0.0 else list_sum(list_transform({_LINES}, lambda s: length(s))) / len({_LINES}) end, 6) mean_line,
  round(len(list_distinct({_TTR})) / greatest(len({_TTR}), 1), 6) ttr, round({s_count(TXT, T.ANY_URL)} / {_N}, 6) url_per_word,
  round({s_count(TXT, chr(92) + 'p{Nd}')} / greatest(length({TXT}), 1), 6) digit_ratio, greatest(1, len(string_split({TXT}, chr(10) || chr(10))) - 1) paragraphs,
- {s_count(TXT, T.HEADING)} headings, round({s_chars(TXT, '"')} / {_N}, 6) quotes_per_word from documents"""
+ {s_count(TXT, C.HEADING)} headings, round({s_chars(TXT, '"')} / {_N}, 6) quotes_per_word from documents"""
 
 
 @add("document_signals", _SIGNALS)
@@ -650,9 +715,16 @@ def _(spark, d):
     return runs.summary(metrics(spark, d))
 
 
-@add("early_stopping")
+@add(
+    "early_stopping",
+    _RUN.replace("with m", "with recursive m") + ", e as materialized (select run_name, line_no, case when isnan(val_loss) or not isfinite(val_loss) then null else val_loss end x, row_number() over (partition by run_name order by line_no) k from m where record_type = 'eval'),"
+    " f as (select run_name, 0::bigint k, 'infinity'::double best, 0 bad, null::bigint stop from (select distinct run_name from e) union all"
+    " select e.run_name, e.k, case when e.x < f.best then e.x else f.best end, case when e.x < f.best then 0 else f.bad + 1 end,"
+    " coalesce(f.stop, case when e.x is null or (not e.x < f.best and f.bad + 1 >= 3) then e.line_no end) from f join e on e.run_name = f.run_name and e.k = f.k + 1)"
+    " select run_name, max(stop)::double stop_line from f group by 1",
+)
 def _(spark, d):
-    return runs.early_stop(metrics(spark, d))
+    return runs.early_stop(metrics(spark, d)).withColumn("stop_line", F.col("stop_line").cast("double"))
 
 
 @add(

@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 from lexmill import queries as Q
@@ -24,7 +25,7 @@ def duck():
 
 def rows(df):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
         return f"{float(v):.6f}" if isinstance(v, float) else str(v)
 
