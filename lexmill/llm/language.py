@@ -214,12 +214,21 @@ def fit(texts: list[tuple[str, str]]) -> Model:
     return model
 
 
-def train(records: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from at most `sample` records for each label."""
+def sample_ids(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(row_id, label) of at most `sample` records for each label, by a hash."""
     now = current_labels(labels).where(F.col("label").isin(*CLASSES))
     order = Window.partitionBy("label").orderBy(F.xxhash64("row_id"), "row_id")
-    ids = now.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("row_id", "label")
-    rows = records.select("row_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "row_id").orderBy("row_id", "text").limit(sample * len(CLASSES) * 2).collect()
+    return now.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("row_id", "label")
+
+
+def train(records: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Model from at most `sample` records for each label."""
+    return train_on(records, sample_ids(labels, sample))
+
+
+def train_on(records: DataFrame, ids: DataFrame) -> Model:
+    """Model from the records of a bounded frame (row_id, label)."""
+    rows = records.select("row_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "row_id").orderBy("row_id", "text").limit(SAMPLE * len(CLASSES) * 2).collect()
     return fit([(r.label, r.text) for r in rows])
 
 

@@ -11,11 +11,14 @@ Two models of the same kind work on two kinds of units:
 Trusted are the passages of records of whose letters more than TRUST stand in passages with a sign (SIGNS), and marks of
 well-known shapes (TRUSTED). All other units are unlabelled: passages start as content, marks as most likely residue, and each round
 gives every unlabelled unit its probability of being residue and refits both classes with it, while trusted units stay
-residue. The fit looks at about POOL records, those of least hash, and uses at most SAMPLE of them with a sign, as many
-with a mark, and as many of all; scoring covers all records.
-
-A record is residue if a slot stands in it bare, or if residue passages hold more than half of its letters. Numbers
-and trace codes count for neither side. Null, empty and blank texts are none.
+residue. The fit uses at most SAMPLE distinct texts with a sign, as many with a mark, and as many of all, those of least hash
+among all records; scoring covers all records.
+
+Passages of a record belong together: a residue record has residue passages with probability INSIDE, another one with
+probability OUTSIDE (a quoted or a last line), and the share of residue records is fitted too. All passages of a record
+give the odds that it is one, and with these each passage is decided, in the fit as in scoring. A record is residue if a slot stands in it
+bare, or if residue passages hold more than half of its letters. Numbers and trace codes count for neither side. Null,
+empty and blank texts are none.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm import language
+from lexmill.llm import language, samples
 from lexmill.llm.common import map_texts
+from lexmill.plans.stage import cut
 
 # Signs of error pages, script notices and filler text.
 SIGNS = (
@@ -37,8 +41,7 @@ SIGNS = (
     "not found", "introuvable", "nicht gefunden", "no se ha encontrado", "non trovata", "niet gevonden", "timed out", "permission denied",
     "access denied", "temporarily unavailable", "no longer available", "enable cookies", "active scripting", "session has expired",
 )
-SIGN = "(?i)" + "|".join(re.escape(s).replace(r"\ ", " ") for s in SIGNS)
-SIGN_RE = re.compile(SIGN)
+SIGN_RE = re.compile("(?i)" + "|".join(map(re.escape, SIGNS)))
 _NAME = r"[A-Za-z][\w .'-]{0,40}"
 SLOT = re.compile(
     rf"\{{\{{ ?{_NAME}\}}\}}|[$#]\{{ ?{_NAME}\}}|\{{% ?{_NAME}%\}}|<%=? ?{_NAME}%>|\[\[ ?{_NAME}\]\]|@@[\w.]{{1,40}}@@|__[A-Za-z]\w*?__|%%?[A-Za-z][\w.]{{1,40}}%%?(?![0-9A-F])"
@@ -51,7 +54,9 @@ TRUSTED = ("{{a}}", "${a}", "<%a%>", "{9}", "[your]", "[insert]", "[object]")
 FORM_WORDS = ("lt", "gt", "undefined", "null", "xxxx", "to", "follow", "block")
 QUOTES = "\"'`“”„«»‘’‹›"
 
-POOL, SAMPLE, ROUNDS, COMMON, TRUST, PRIOR = 20_000, 1500, 8, 200, 0.25, 0.03
+SAMPLE, ROUNDS, COMMON, TRUST, PRIOR = 1500, 8, 200, 0.25, 0.03
+#: Probability that a passage of a residue record, and of another one, is residue.
+INSIDE, OUTSIDE = 0.9, 0.003
 HEX = re.compile(r"[a-f]{2,}")
 TOKEN = re.compile(r"[^\W_]+|[.!?…:](?=\s+[^\W\d_])|\n")
 SPLIT = re.compile(r"(?<=[.!?…:])\s+(?=[^\W\d_])|\n")
@@ -105,8 +110,17 @@ class Bayes:
         return self.prior + sum(get(f, 0.0) for f in features)
 
 
-def fit(trusted: list, unlabelled: list, rounds: int = ROUNDS, least: int = 2, mass: float | None = 300.0, alpha: float = 0.5, cap: float = 4.0, skip=frozenset(), prior: float | None = PRIOR, start: float = 0.0, groups: tuple | None = None) -> Bayes:
-    """Positive-unlabelled naive Bayes by EM; units are lists of features. groups: numbers of the trusted and of the other units' groups, whose mix is made equal in both classes."""
+def mixture(odds: np.ndarray, owner: np.ndarray, n: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities that passages are residue, and that their n records are: odds are the passages' log likelihood ratios, owner their records."""
+    ratio = np.exp(odds.clip(-30, 30))
+    inside, outside = (a * ratio / (a * ratio + 1 - a) for a in (INSIDE, OUTSIDE))
+    told = np.log((INSIDE * ratio + 1 - INSIDE) / (OUTSIDE * ratio + 1 - OUTSIDE))
+    record = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + np.bincount(owner, told, n)).clip(-30, 30)))
+    return record[owner] * inside + (1 - record[owner]) * outside, record
+
+
+def fit(trusted: list, unlabelled: list, rounds: int = ROUNDS, least: int = 2, mass: float | None = 300.0, alpha: float = 0.5, cap: float = 4.0, skip=frozenset(), prior: float | None = PRIOR, start: float = 0.0, groups: tuple | None = None, owner: np.ndarray | None = None) -> Bayes:
+    """Positive-unlabelled naive Bayes by EM; units are lists of features. groups: numbers of the trusted and of the other units' groups, whose mix is made equal in both classes. owner: records of the other units, which then are decided together."""
     seen = Counter(f for u in trusted + unlabelled for f in set(u))
     vocab = [f for f, n in seen.items() if n >= least and f not in skip]
     at = {f: k for k, f in enumerate(vocab)}
@@ -141,16 +155,17 @@ def fit(trusted: list, unlabelled: list, rounds: int = ROUNDS, least: int = 2, m
         odds = odds.clip(-cap, cap)
         if fixed_prior is None:  # the share of residue among all units
             prior = float(np.log((len(trusted) + p.sum() + 1) / (n_u - p.sum() + 1)))
-        s = prior + np.bincount(uo, weights=odds[uf], minlength=n_u)
-        p = 1 / (1 + np.exp(-s.clip(-30, 30)))
+        s = np.bincount(uo, weights=odds[uf], minlength=n_u)
+        p = 1 / (1 + np.exp(-(prior + s).clip(-30, 30))) if owner is None else mixture(s, owner, int(owner.max(initial=-1)) + 1, PRIOR)[0]
     return Bayes({f: float(odds[k]) for f, k in at.items()}, prior)
 
 
 class Scorer:
     """Both models; scores batches of texts."""
 
-    def __init__(self, passages: Bayes, marks: Bayes):
-        self.passages, self.marks = passages, marks
+    def __init__(self, passages: Bayes, marks: Bayes, share: float = 0.03):
+        """share: of residue records among all."""
+        self.passages, self.marks, self.share = passages, marks, share
         self.reset()
 
     def reset(self) -> None:
@@ -159,10 +174,10 @@ class Scorer:
         self.n = 0
 
     def __getstate__(self):
-        return (self.passages, self.marks)
+        return (self.passages, self.marks, self.share)
 
     def __setstate__(self, s):
-        self.passages, self.marks = s
+        self.passages, self.marks, self.share = s
         self.reset()
 
     def index(self, t: str) -> int:
@@ -194,55 +209,67 @@ class Scorer:
         share = np.zeros(len(texts))
         if len(ids):
             sums = np.add.reduceat(self.rows[ids], first, axis=0)
-            bad = sums[:, 0] + self.passages.prior > 0
             whose = owner[first]
+            told = np.where(sums[:, 1] > 0, sums[:, 0], 0.0)
+            bad = mixture(told, whose, len(texts), self.share)[0] > 0.5
             total = np.bincount(whose, sums[:, 1], len(texts))
             share = np.bincount(whose, sums[:, 1] * bad, len(texts)) / np.maximum(total, 1)
         return share
 
+    def fit_share(self, texts: list[str], rounds: int = 5) -> None:
+        """Set the share of residue records to that of these texts, by expectation-maximization."""
+        lists = [[u for u in units(t)] for t in texts]
+        odds = np.array([sum(self.passages.odds.get(w, 0.0) for w in u) for us in lists for u in us])
+        owner = np.repeat(np.arange(len(texts)), [len(us) for us in lists])
+        for _ in range(rounds if len(odds) else 0):
+            self.share = float((mixture(odds, owner, len(texts), self.share)[1].sum() + 1) / (len(texts) + 2))
+
     def slot_scores(self, texts: list[str]) -> np.ndarray:
         """For each text the greatest log odds of a slot, -inf without any."""
         return np.array([max((self.marks.score(s) for s in slots(t)), default=-np.inf) for t in texts])
 
 
-def train(records: DataFrame, labeller: language.Labeller, sample: int = SAMPLE) -> Scorer:
-    """Scorer from at most `sample` records with a sign, with a mark, and of all, of a pool of about POOL records; labeller tells languages."""
-    texts = records.select("row_id", "text").where(F.col("text").isNotNull() & (F.length("text") > 0))
-    n = records.count()
-    if n > POOL:
-        texts = texts.where(F.xxhash64("row_id") < int(-(2**63) + 2**64 * POOL / n))
-    order = [F.xxhash64("row_id"), F.col("row_id"), F.col("text")]
+def marked(text: str, low: str) -> bool:
+    return HINT.search(text) is not None and SLOT.search(text) is not None
+
+
+#: What samples.Drawn is to draw for train().
+KINDS = {"signed": lambda text, low: any(s in low for s in SIGNS), "marked": marked, "plain": lambda text, low: True}
 
-    def some(df):
-        return [r.text for r in df.orderBy(*order).limit(sample).collect()]
 
-    signed = some(texts.where(F.col("text").rlike(SIGN)))
-    marked = some(texts.where(F.col("text").rlike(r"\{\{|[$#]\{|<%|\{%|@@|\[\[|__|%%|XXX|\$\w+\$|#\w+#|\[\w|undefined")))
-    plain_ = some(texts)
-    trusted, rest, common = [], [], Counter()
-    for t in dict.fromkeys(signed + plain_):
+def train(drawn: samples.Drawn, labeller: language.Labeller) -> Scorer:
+    """Scorer from texts drawn by KINDS; labeller tells languages."""
+    signed, marks, plain_ = (drawn.texts(k) for k in KINDS)
+    trusted, rest, owner, common = [], [], [], Counter()
+    for k, t in enumerate(dict.fromkeys(signed + plain_)):
         parts = [(bool(SIGN_RE.search(p)), [w for u in units(p) for w in u], p) for p in SPLIT.split(t)]
         letters = [sum(len(w) for w in us if w[0] != "#") for _, us, _ in parts]
         sure_ = sum(n for (sign, _, _), n in zip(parts, letters) if sign) > TRUST * sum(letters)
         (trusted if sure_ else rest).extend((us, p) for _, us, p in parts if us)
         if not sure_:
+            owner += [k] * sum(bool(us) for _, us, _ in parts)
             common.update(w for _, us, _ in parts for w in us)
 
     def langs(us):
         return [max(((n, c) for c, _, n, _ in ss), default=(0, 0))[1] for ss in labeller.label([p for _, p in us])]
 
     sure, open_ = [], []
-    for t in dict.fromkeys(marked + plain_):
+    for t in dict.fromkeys(marks + plain_):
         for s in slots(t):
             (sure if s[0] in TRUSTED else open_).append(s)
     skip = frozenset(w for w, _ in common.most_common(min(COMMON, len(common) // 20)))
     groups = (langs(trusted), langs(rest))
-    return Scorer(fit([u for u, _ in trusted], [u for u, _ in rest], skip=skip, groups=groups), fit(sure, open_, mass=None, prior=None, start=0.9))
+    passages = fit([u for u, _ in trusted], [u for u, _ in rest], skip=skip, groups=groups, owner=np.unique(owner, return_inverse=True)[1].astype(np.int64))
+    scorer = Scorer(passages, fit(sure, open_, mass=None, prior=None, start=0.9))
+    scorer.fit_share(plain_)
+    return scorer
 
 
 def scored(records: DataFrame, labels: DataFrame) -> DataFrame:
     """(row_id, residue_share, slot_score, residue) for each record with a text; slot_score is null without slots. labels: delivered language labels."""
-    shared = records.sparkSession.sparkContext.broadcast(train(records, language.Labeller(language.train(records, labels))))
+    ids = cut(language.sample_ids(labels))
+    drawn = samples.Drawn(records, {r.row_id for r in ids.collect()}, KINDS, SAMPLE)
+    shared = records.sparkSession.sparkContext.broadcast(train(drawn, language.Labeller(language.train_on(drawn.records(), ids))))
 
     def make():
         sc = shared.value
