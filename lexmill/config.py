@@ -38,6 +38,7 @@ ARTIFACTS = (
 )
 SOCIAL = r"(?i)\b(retweet|rt\b|hashtag|upvote|downvote|karma|subreddit|tweet|follow us|subscribe|like and share|click here)\b"
 LEGAL = r"(?i)\b(all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|copyright \d{4}|disclaimer)\b"
+OLD_CHECKPOINT = r"^\d+_epoch_\d+_step$"
 MAX_HTML, MAX_SYMBOLS, MAX_KEYWORDS = 0.02, 0.10, 3
 MIN_WORDS, MIN_CHARS, MAX_WORD, REPEAT_WORDS, MAX_REPEATS = 50, 200, 40, 10, 3
 MAX_ELLIPSIS = 0.1

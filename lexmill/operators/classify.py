@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
@@ -50,3 +50,14 @@ def labelled_language(labels: DataFrame, language: str = "en", least: float = 0.
     conf = F.when(F.col("lang_conf") > 1, F.col("lang_conf") / 100).otherwise(F.col("lang_conf"))
     s = last.select("row_id", normal_label(F.col("lang")).alias("lang"), F.round(conf, 6).alias("conf"))
     return s.where((F.col("lang") == language) & (F.col("conf") >= least))
+
+
+def annotation_score(answer: Column) -> Column:
+    """Score 1 to 5 that an annotator's answer begins with; null if it doesn't."""
+    return F.nullif(F.regexp_extract(T.strip(answer), "^([1-5])", 1), F.lit("")).cast("int")
+
+
+def annotated_lines(df: DataFrame) -> DataFrame:
+    """Training lines `__label__<score> <first line>` of (text, answer); answers without a score and blank lines are left out."""
+    s = df.select(annotation_score(F.col("answer")).alias("score"), T.first_line(T.text(F.col("text"))).alias("line"))
+    return s.where("score is not null and line <> ''").select(F.concat(F.lit("__label__"), F.col("score").cast("string"), F.lit(" "), F.col("line")).alias("line"))

@@ -47,6 +47,12 @@ def lowest(df: DataFrame, group: str, targets: dict[str, int], seed: int, key: s
     return whole.select(*df.columns).unionByName(part.select(*df.columns))
 
 
+def few(df: DataFrame, group: str, k: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """The k rows of least hash of every group. k is small: each task keeps its own k before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(rank_key(seed, key), key))
+    return df.withColumn("_k", rank).where(F.col("_k") <= k).drop("_k")
+
+
 def topic_resample(df: DataFrame, config: C.Config | None = None, topic: str = "topic") -> DataFrame:
     """Classes of the distribution cut to their share of the rows in topic_classes; what is missing isn't made up."""
     config = config or C.Config()

@@ -10,12 +10,13 @@ from lexmill import config as C
 from lexmill.functions import text as T
 
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
-SIGNALS = ("punct_per_word", "upper_ratio", "mean_line", "ttr", "url_per_word", "digit_ratio", "paragraphs", "headings", "quotes_per_word")
+SIGNALS = ("punct_per_word", "upper_ratio", "mean_line", "ttr", "url_per_word", "digit_ratio", "paragraphs", "headings", "quotes_per_word", "sentences", "words_per_sentence")
 
 
 def signals(df: DataFrame) -> DataFrame:
     """doc_id and SIGNALS; all in one projection, without a shuffle."""
     d = df.select("doc_id", T.text(F.col("text")).alias("t")).withColumn("w", F.greatest(F.size(T.words(F.col("t"))), F.lit(1)))
+    d = d.withColumn("s", F.greatest(F.lit(1), T.count(F.col("t"), r"\. ")))
     t, w = F.col("t"), F.col("w")
     r = lambda c: F.round(c, 6)
     return d.select(
@@ -29,6 +30,8 @@ def signals(df: DataFrame) -> DataFrame:
         F.greatest(F.lit(1), F.size(F.split(t, "\n\n")) - 1).cast("bigint").alias("paragraphs"),
         T.count(t, C.HEADING).cast("bigint").alias("headings"),
         r(T.chars_in(t, '"') / w).alias("quotes_per_word"),
+        F.col("s").cast("bigint").alias("sentences"),
+        r(w / F.col("s")).alias("words_per_sentence"),
     )
 
 
@@ -109,3 +112,16 @@ def pattern_counts(df: DataFrame) -> DataFrame:
 def extrapolated_tokens(lengths: DataFrame) -> DataFrame:
     """One row: tokens that the full corpus would have at this mean."""
     return lengths.agg(F.floor(F.avg("n_tokens") * C.FULL_CORPUS_DOCS).cast("bigint").alias("tokens"))
+
+
+def percentiles(lengths: DataFrame, column: str = "n_tokens", at=(1, 5, 10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
+    """(percentile, value) of a column, linear between values, cut to whole numbers; one pass. No row gives nulls."""
+    p = F.percentile(F.col(column).cast("double"), F.array(*(F.lit(k / 100) for k in at)))
+    items = lengths.agg(p.alias("p")).select(F.explode(F.array(*(F.struct(F.lit(k).alias("percentile"), F.floor(F.col("p")[j]).cast("bigint").alias("value")) for j, k in enumerate(at)))).alias("x"))
+    return items.select("x.*")
+
+
+def other_languages(df: DataFrame, language: str = "en", preview: int = 100) -> DataFrame:
+    """(doc_id, lang, preview): documents labelled otherwise than the language (null as 'unknown'), with the beginning of their text."""
+    lang = F.coalesce(F.lower("lang"), F.lit("unknown"))
+    return df.where(lang != language).select("doc_id", lang.alias("lang"), F.substring(T.text(F.col("text")), 1, preview).alias("preview"))

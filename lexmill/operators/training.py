@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.functions import text as T
+
 
 def lr_schedule(spark: SparkSession, kind: str, warmup: int, total: int, lr: float, min_lr: float, decay: float = 0.1) -> DataFrame:
     """(step, lr) for steps 0 .. total - 1: warm-up, then 'wsd' (constant, linear decay over the last share) or 'cosine'."""
@@ -83,6 +85,17 @@ def prompt(turns: DataFrame) -> DataFrame:
     return t.select("conv_id", F.concat(F.array_join(F.transform("t", lambda x: x["line"]), "\n"), F.lit("\nAssistant:")).alias("prompt"))
 
 
+def last_tokens(ids: Column, context: int, new: int) -> Column:
+    """The last tokens of a prompt that leave room for `new` ones in the context."""
+    room = max(context - new, 0)
+    return F.when(F.size(ids) > room, F.slice(ids, F.greatest(F.size(ids) - room + 1, F.lit(1)), room)).otherwise(ids)
+
+
+def reply(generated: Column) -> Column:
+    """Generated text up to the next turn of the user, stripped."""
+    return T.strip(F.substring_index(generated, "User:", 1))
+
+
 def human_count(c: Column) -> Column:
     """1.2B, 35.8M, 12.0K or the number."""
     f = lambda d, u: F.concat(F.format_string("%.1f", c / F.lit(float(d))), F.lit(u))

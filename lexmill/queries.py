@@ -13,7 +13,7 @@ from lexmill import config as C
 from lexmill.functions import text as T
 from lexmill.functions.labels import NAMES, UNKNOWN
 from lexmill.functions.python import nfc
-from lexmill.operators import classify, decontaminate, dedup, lm, packing, runs, sampling, signals, status, training
+from lexmill.operators import classify, decontaminate, dedup, lm, packing, runs, sampling, signals, status, training, trials
 from lexmill.plans import pipeline
 from lexmill.plans.stage import spread
 
@@ -330,9 +330,9 @@ def _(spark, d):
 _COLLAPSED = s_strip(f"regexp_replace(lower(nfc_normalize({TXT})), {q(f'{WS}+')}, ' ', 'g')")
 
 
-@add("exact_duplicates", f"select fp, count(*) n_docs, min(doc_id) first_id from (select doc_id, sha1({_COLLAPSED}) fp from documents) group by 1 having count(*) > 1")
+@add("exact_duplicates", f"select fp, count(*) n_docs, min(row_id) first_id from (select row_id, sha1({_COLLAPSED}) fp from openwebtext_10k) group by 1 having count(*) > 1")
 def _(spark, d):
-    return dedup.exact_clusters(table(spark, d, "documents"))
+    return dedup.exact_clusters(table(spark, d, "openwebtext_10k").withColumnRenamed("row_id", "doc_id"))
 
 
 _W = s_words(f"lower({TXT})")
@@ -425,8 +425,7 @@ def _(spark, d):
 @add("labelled_sample", f"select doc_id, lang from (select doc_id, lower(lang) lang, row_number() over (partition by lower(lang) order by {s_key(3)}, doc_id) k from documents where lang is not null and {s_strip(f'string_split({TXT}, chr(10))[1]')} <> '') where k <= 20")
 def _(spark, d):
     t = table(spark, d, "documents").where(F.col("lang").isNotNull() & (T.first_line(T.text(F.col("text"))) != "")).select("doc_id", F.lower("lang").alias("lang"))
-    langs = [r[0] for r in t.select("lang").distinct().limit(1000).collect()]
-    return sampling.lowest(t, "lang", dict.fromkeys(langs, 20), 3)
+    return sampling.few(t, "lang", 20, 3)
 
 
 @add("shard_assignment", "select cast(floor((k - 1) / 250) as bigint) shard, count(*) n, min(doc_id) first_id from (select doc_id, row_number() over (order by doc_id) k from documents) group by 1")
@@ -494,6 +493,11 @@ def _(spark, d):
     return packing.histogram(lengths(spark, d))
 
 
+@add("token_percentiles", f"with {_LEN} select p percentile, floor(quantile_cont(n::double, [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])[k])::bigint as value from l, (values (1, 1), (5, 2), (10, 3), (25, 4), (50, 5), (75, 6), (90, 7), (95, 8), (99, 9)) x(p, k) group by p, k")
+def _(spark, d):
+    return signals.percentiles(lengths(spark, d))
+
+
 @add("token_extrapolation", f"with {_LEN} select floor(avg(n) * {C.FULL_CORPUS_DOCS})::bigint tokens from l")
 def _(spark, d):
     return signals.extrapolated_tokens(lengths(spark, d))
@@ -566,12 +570,13 @@ def _(spark, d):
 _N = f"greatest(len({s_words(TXT)}), 1)"
 _LINES = f"list_filter(string_split({TXT}, chr(10)), lambda s: {s_strip('s')} <> '')"
 _TTR = f"regexp_extract_all(lower({TXT}), '[a-zA-Z]+')[1:200]"
+_DOTS = s_count(TXT, r"\. ")
 _SIGNALS = f"""select doc_id, round({s_count(TXT, signals.PUNCTUATION)} / {_N}, 6) punct_per_word,
  round({s_count(TXT, chr(92) + 'p{Lu}')} / greatest({s_count(TXT, chr(92) + 'p{L}')}, 1), 6) upper_ratio,
  round(case when len({_LINES}) = 0 then 0.0 else list_sum(list_transform({_LINES}, lambda s: length(s))) / len({_LINES}) end, 6) mean_line,
  round(len(list_distinct({_TTR})) / greatest(len({_TTR}), 1), 6) ttr, round({s_count(TXT, T.ANY_URL)} / {_N}, 6) url_per_word,
  round({s_count(TXT, chr(92) + 'p{Nd}')} / greatest(length({TXT}), 1), 6) digit_ratio, greatest(1, len(string_split({TXT}, chr(10) || chr(10))) - 1) paragraphs,
- {s_count(TXT, C.HEADING)} headings, round({s_chars(TXT, '"')} / {_N}, 6) quotes_per_word from documents"""
+ {s_count(TXT, C.HEADING)} headings, round({s_chars(TXT, '"')} / {_N}, 6) quotes_per_word, greatest(1, {_DOTS}) sentences, round({_N} / greatest(1, {_DOTS}), 6) words_per_sentence from documents"""
 
 
 @add("document_signals", _SIGNALS)
@@ -616,6 +621,11 @@ def _(spark, d):
     return signals.language_counts(table(spark, d, "documents"))
 
 
+@add("other_languages", f"select doc_id, coalesce(lower(lang), 'unknown') lang, {TXT}[1:100] preview from documents where coalesce(lower(lang), 'unknown') <> 'en'")
+def _(spark, d):
+    return signals.other_languages(table(spark, d, "documents"))
+
+
 @add("language_filter", "select doc_id from documents where lower(lang) = 'en'")
 def _(spark, d):
     return table(spark, d, "documents").where(F.lower("lang") == "en").select("doc_id")
@@ -727,15 +737,82 @@ def _(spark, d):
     return runs.early_stop(metrics(spark, d)).withColumn("stop_line", F.col("stop_line").cast("double"))
 
 
+def s_last(n):
+    return f"(partition by run_name order by line_no rows {n - 1} preceding)"
+
+
 @add(
     "run_alerts",
-    _RUN + f", s as (select run_name, step, line_no, {s_nan('grad_norm')} g, {s_nan('train_loss')} x from m where record_type = 'step'), w as (select *, count(g) over z c, min(g) over z lo from s window z as (partition by run_name order by line_no rows 2 preceding))"
-    " select run_name, step, 'gradient' alert from w where c = 3 and lo > 10 union all select run_name, step, 'loss' from w where step > 200 and x > 7",
+    _RUN + f", s as (select run_name, line_no, step, record_type t, {s_nan('grad_norm')} g, {s_nan('train_loss')} x, {s_nan('lr')} r, {s_nan('val_loss')} v, {s_nan('eval_train_loss')} e from m)"
+    f" select run_name, line_no, 'gradient' alert from (select *, max(g) over {s_last(3)} h from s where t = 'step' and g is not null) where h > 10"
+    f" union all select run_name, line_no, 'loss' from (select *, min(x) over {s_last(3)} h from s where t = 'step' and x is not null and step >= 200) where h > 7"
+    f" union all select run_name, line_no, 'rate' from (select *, max(abs(r)) over {s_last(3)} h from s where t = 'step' and r is not null) where h = 0 and step > 20"
+    " union all select run_name, line_no, 'overfitting' from (select *, v - e gap, lag(v - e, 2) over (partition by run_name order by line_no) before from s where t = 'eval' and v is not null and e is not null) where gap > 0.5 and gap > before"
+    f" union all select run_name, line_no, 'stagnation' from (select *, count(v) over {s_last(5)} k, max(v) over {s_last(5)} - min(v) over {s_last(5)} d from s where t = 'eval' and v is not null) where k = 5 and d < 0.001",
 )
 def _(spark, d):
     return runs.alerts(metrics(spark, d))
 
 
+@add(
+    "loss_curve",
+    _RUN + f", p as (select step, {s_nan('train_loss')} l from m where record_type = 'step' and step is not null and {s_nan('train_loss')} is not null), e as (select min(step) s0, max(step) s1, min(l) l0, max(l) l1 from p)"
+    " select distinct floor((step - s0) / greatest(s1 - s0, 1) * 49)::bigint x, floor((l - l0) / case when l1 = l0 then 1 else l1 - l0 end * 7)::bigint y from p, e",
+)
+def _(spark, d):
+    return runs.curve(runs.lines(metrics(spark, d)).where("record_type = 'step'").select("step", F.col("train_loss").alias("loss")))
+
+
+@add(
+    "retained_checkpoints",
+    _EVAL + ", f as (select run_name, line_no, step, case when isfinite(val_loss) then val_loss end x from ev)"
+    " select run_name, line_no, step, x is not null and (select count(*) from f o where o.run_name = f.run_name and o.line_no < f.line_no and o.x <= f.x) < 2 kept from f",
+)
+def _(spark, d):
+    return runs.retained_best(runs.eval_points(metrics(spark, d)))
+
+
+_TRIALS = _RUN + f""", t as (select row_number() over (order by run_name) number, run_name, case when bool_or(record_type = 'best_checkpoint') then 'COMPLETE' when bool_or(record_type = 'eval') then 'PRUNED' else 'FAIL' end state,
+ round(min(case when isfinite(val_loss) then {s_nan('val_loss')} end), 6) as value from m group by run_name)"""
+
+
+def study(spark, d):
+    """The runs as trials of a study."""
+    from pyspark.sql.window import Window
+
+    m, has = runs.lines(metrics(spark, d)), lambda t: F.bool_or(F.col("record_type") == t)
+    t = m.groupBy("run_name").agg(
+        F.when(has("best_checkpoint"), "COMPLETE").when(has("eval"), "PRUNED").otherwise("FAIL").alias("state"),
+        F.round(F.min(F.when(F.abs("val_loss") < float("inf"), runs.nan_free("val_loss"))), 6).alias("value"),
+    )
+    return t.withColumn("number", F.row_number().over(Window.orderBy("run_name")).cast("bigint"))  # a row a run
+
+
+@add("trial_states", _TRIALS + " select state, count(*) n, min(value) best from t group by 1")
+def _(spark, d):
+    return trials.by_state(study(spark, d))
+
+
+@add("best_trials", _TRIALS + " select row_number() over (order by value nulls last, number) rank, number, run_name, value from t where state = 'COMPLETE' order by 1 limit 5")
+def _(spark, d):
+    return trials.best(study(spark, d)).select("rank", "number", "run_name", "value")
+
+
+_PRESETS = "(select 64 * k d_model, case when k % 3 = 0 then 'd_model=' || 32 * k || ',n_layers=4,n_heads=4,d_ff=' || 96 * k end p, 0.001 * k lr from range(1, 13) t(k))"
+
+
+@add(
+    "trial_parameters",
+    f"select d_model, d_ff, round(lr * 0.1, 9) min_lr, n_layers from (select case when p is null then d_model else regexp_extract(p, 'd_model=([0-9]+)', 1)::bigint end d_model, lr, case when p is not null then 4::bigint end n_layers,"
+    f" case when p is null then (d_model * 8 // 3) + (d_model * 8 // 3) % 2 else regexp_extract(p, 'd_ff=([0-9]+)', 1)::bigint end d_ff from {_PRESETS}) where n_layers is not null",
+)
+def _(spark, d):
+    k = F.col("id")
+    preset = F.when(k % 3 == 0, trials.preset(32 * k, F.lit(4), F.lit(4), 96 * k))
+    t = spark.range(1, 13).select((64 * k).alias("d_model"), preset.alias("architecture_preset"), (0.001 * k).alias("learning_rate"))
+    return trials.resolved(t).where("n_layers is not null").select("d_model", "d_ff", F.round("min_lr", 9).alias("min_lr"), "n_layers")
+
+
 _CK = r"with c as (select distinct on (run_name, ckpt_name) *, coalesce(step, nullif(regexp_extract(ckpt_name, 'step_(\d+)', 1), '')::bigint, nullif(regexp_extract(ckpt_name, 'step(\d+)', 1), '')::bigint) at_step from checkpoints order by run_name, ckpt_name)"
 
 
@@ -749,6 +826,11 @@ def _(spark, d):
     return runs.latest(table(spark, d, "checkpoints"))
 
 
+@add("checkpoint_listing", _CK + rf" select run_name, ckpt_name, mtime from c where ends_with(ckpt_name, '.pt') or regexp_matches(ckpt_name, {q(C.OLD_CHECKPOINT)}) order by mtime desc nulls last, run_name, ckpt_name")
+def _(spark, d):
+    return runs.listed(table(spark, d, "checkpoints"))
+
+
 @add("checkpoint_steps", _CK.split(", coalesce")[0].replace("with c as (select distinct on (run_name, ckpt_name) *", "select distinct ckpt_name") + r", coalesce(nullif(regexp_extract(ckpt_name, 'step_(\d+)', 1), '')::bigint, nullif(regexp_extract(ckpt_name, 'step(\d+)', 1), '')::bigint) step from checkpoints")
 def _(spark, d):
     return table(spark, d, "checkpoints").select("ckpt_name", runs.step_of(F.col("ckpt_name")).alias("step")).distinct()
@@ -760,10 +842,14 @@ def _(spark, d):
     return runs.batch_perplexity(m.where("loss is not null"))
 
 
-@add("run_ranking", _RUN + f" select run_name, v val_loss, row_number() over (order by v nulls last, run_name) rank from (select run_name, round(min({s_nan('val_loss')}), 6) v from m group by 1)")
+@add("run_ranking", _RUN + f" select run_name, v val_loss, row_number() over (order by v nulls last, run_name) rank from (select run_name, case when (row_number() over (order by run_name)) % 3 = 0 then null else v end v from (select run_name, round(min({s_nan('val_loss')}), 6) v from m group by 1))")
 def _(spark, d):
+    from pyspark.sql.window import Window
+
     s = runs.summary(metrics(spark, d)).select("run_name", F.col("least_val_loss").alias("val_loss"))
-    return runs.upsert_ranking(s.limit(0), s, "run_name", "val_loss").withColumn("rank", F.col("rank").cast("bigint"))
+    third = F.row_number().over(Window.orderBy("run_name")) % 3 == 0  # a row a run
+    new = s.withColumn("t", third).where("t").select("run_name", F.lit(None).cast("double").alias("val_loss"))
+    return runs.upsert_ranking(s, new, "run_name", "val_loss").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # ---- computed tables -------------------------------------------------------------------------------------------------
