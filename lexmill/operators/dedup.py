@@ -12,7 +12,7 @@ from lexmill import config as C
 from lexmill.functions import text as T
 from lexmill.functions.python import nfc
 from lexmill.plans.components import components
-from lexmill.plans.stage import anti_join, cut
+from lexmill.plans.stage import anti_join, cut, split_join
 
 
 def exact_clusters(df: DataFrame) -> DataFrame:
@@ -49,10 +49,17 @@ def buckets(sig: DataFrame) -> DataFrame:
 
 
 def links(df: DataFrame) -> DataFrame:
-    """(a, b): the least document of each bucket with every other one; stars, not pairs. Counted before the shuffle."""
-    b = cut(buckets(signatures(df)))
-    first = b.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return b.join(first, ["band", "key"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    """(a, b): the least document of each bucket with every other one; stars, not pairs. Counted before the shuffle, hot buckets aren't shuffled.
+
+    Documents without shingles have equal signatures, so are in all buckets together: they are one star, apart from the rest.
+    """
+    sig = cut(signatures(df))
+    none = F.col("sig")[0] == C.EMPTY_HASH
+    empty = sig.where(none).select("doc_id")
+    star = empty.crossJoin(F.broadcast(empty.agg(F.min("doc_id").alias("a")))).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))  # with a single row
+    b = cut(buckets(sig.where(~none)))
+    first = cut(b.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"))
+    return split_join(b, first, ["band", "key"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).union(star).distinct()
 
 
 def clusters(df: DataFrame) -> DataFrame:
@@ -62,8 +69,7 @@ def clusters(df: DataFrame) -> DataFrame:
 
 def survivors(df: DataFrame) -> DataFrame:
     """Documents without the later members of clusters."""
-    gone = clusters(df).where("doc_id <> cluster").select("doc_id")
-    return df.join(gone, "doc_id", "left_anti")
+    return anti_join(df, cut(clusters(df).where("doc_id <> cluster").select("doc_id")), ["doc_id"])
 
 
 def estimated_similarity(df: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Connected components by alternating large and small stars; log-many rounds, no group is ever collected."""
+"""Connected components by alternating large and small stars; log-many rounds, no group is ever collected, and the rows of a hub stay where they are."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.plans.stage import cut
+from lexmill.plans.stage import cut, split_join
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,10 +18,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = state(e)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
+        large = cut(split_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = split_join(large, low, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = cut(small.distinct())
         now = state(e)
         if now == before:

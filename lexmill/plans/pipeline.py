@@ -22,7 +22,8 @@ class Curation:
     Between two phases that need the whole (resampling, near-duplicates) all row-wise ones are one pass, which is cut: each
     document with the first phase that drops it. A phase in config.skip, or one without what it needs (topics without a topic,
     code and quality in filter mode none), is left out. In filter mode classifier, models has those of classify.train for
-    "code" and "education"; they and the perplexity decide. scorers may give "language": (doc_id, text) -> (doc_id, lang,
+    "code" and "education", and may have lm.ngram_counts as "ngrams" (else the unigrams of what is left serve); they and the
+    perplexity decide. scorers may give "language": (doc_id, text) -> (doc_id, lang,
     lang_conf) in place of the columns, and "topic": (doc_id, text) -> (doc_id, topic).
     """
 
@@ -70,7 +71,7 @@ class Curation:
             if "code" in needed:
                 d = self._left["code"] = cut(_kept(d, classify.code_filter(d, models["code"])))
             if "education" in needed:
-                d = self._left["quality"] = cut(_kept(_kept(d, lm.perplexity_status(d)), classify.education_filter(d, models["education"])))
+                d = self._left["quality"] = cut(_kept(_kept(d, lm.perplexity_status(d, counts=models.get("ngrams"))), classify.education_filter(d, models["education"])))
         else:
             every = {"code": status.code_status, "quality": status.quality_status}
             d = self._pass(d.select("doc_id", "text"), ["doc_id"], {p: f for p, f in every.items() if p not in self.skipped}, "topics")

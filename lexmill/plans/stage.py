@@ -12,10 +12,21 @@ BROADCAST_ROWS = 250_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; only where none is set, as in tests, a temporary one."""
+    """Use the shared folder of spark.checkpoint.dir. Only on a single machine, as in tests, a temporary one serves where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexmill-ckpt-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if shared is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexmill-ckpt-"))
+
+
+def drop_checkpoints(spark: SparkSession) -> None:
+    """Remove everything this session has checkpointed; frames that rest on it can't be read any more."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,6 +56,26 @@ def anti_join(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADC
     return df.join(F.broadcast(keys) if small else keys.hint("shuffle_merge"), on, "left_anti")
 
 
+#: Rows of df for one key from which on a key is hot.
+HEAVY = 50_000
+
+
+def split_join(df: DataFrame, keys: DataFrame, on: list[str], n: str = "n", limit: int = BROADCAST_ROWS, heavy: int = HEAVY) -> DataFrame:
+    """Inner join of df with a cut frame of unique keys that tells in n how many rows of df each has; n is dropped.
+
+    Broadcast if there are at most `limit` keys. Else the hot ones, of which there are few, are broadcast and their rows stay
+    where they are, and only the rest is shuffled; so no task gets a hot key's rows.
+    """
+    if keys.limit(limit + 1).count() <= limit:
+        return df.join(F.broadcast(keys.drop(n)), on)
+    hot = keys.where(F.col(n) >= heavy).drop(n)
+    while hot.limit(limit + 1).count() > limit:  # then they aren't few, and less hot ones can be shuffled
+        heavy *= 4
+        hot = keys.where(F.col(n) >= heavy).drop(n)
+    cold = df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.where(F.col(n) < heavy).drop(n).hint("shuffle_merge"), on)
+    return df.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores: a table of fewer partitions than these, as a single small file is, is dealt out anew; larger ones stay as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism

@@ -679,6 +679,22 @@ def _(spark, d):
     return lm.perplexity_status(table(spark, d, "documents"))
 
 
+@add(
+    "ngram_perplexity",
+    f"""with w as materialized (select doc_id, regexp_extract_all(lower({TXT}), {q('[a-z' + chr(39) + ']+')}) w from documents),
+ t as materialized (select doc_id, w[i] w1, w[i-1:i] w2, w[i-2:i] w3, w[i-1:i-1] h1, w[i-2:i-1] h2, i from w x, lateral (select unnest(range(1, len(x.w) + 1)) i)),
+ u as materialized (select w1, count(*) c from t group by 1), b as materialized (select w2, count(*) c from t where i > 1 group by 1), g as materialized (select w3, count(*) c from t where i > 2 group by 1),
+ f1 as materialized (select w2[1:1] h1, sum(c) f, count(*) k from b group by 1), f2 as materialized (select w3[1:2] h2, sum(c) f, count(*) k from g group by 1), z as (select sum(c) n, count(*) v from u),
+ p1 as (select t.*, (u.c + 1) / (z.n + z.v + 1) p from t join u using (w1), z),
+ p2 as (select p1.* replace (case when i > 1 and f1.f > 0 then (coalesce(b.c, 0) + f1.k * p) / (f1.f + f1.k) else p end as p) from p1 left join b using (w2) left join f1 using (h1)),
+ p3 as (select doc_id, case when i > 2 and f2.f > 0 then (coalesce(g.c, 0) + f2.k * p) / (f2.f + f2.k) else p end p from p2 left join g using (w3) left join f2 using (h2))
+ select doc_id, round(exp(-avg(ln(p))), 3) perplexity from w left join p3 using (doc_id) where len(w) > 0 group by 1""",
+)
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    return lm.perplexity(docs, lm.ngram_counts(docs)).where(F.col("perplexity") < float("inf")).select("doc_id", F.round("perplexity", 3).alias("perplexity"))
+
+
 # ---- runs ------------------------------------------------------------------------------------------------------------
 _RUN = "with m as materialized (select * from (select *, row_number() over (partition by run_name, line_no order by coalesce(logged_at, timestamptz '1970-01-01 00:00:00+00') desc) rn from run_metrics) where rn = 1)"
 
