@@ -77,6 +77,27 @@ def test_leaks_with_substitution(spark):
     assert leakage.found(frame(spark, [(1, " ".join(w))]), frame(spark, [(7, item)], "item_id")).count() == 0
 
 
+def test_leaks_with_any_two_substitutions(spark):
+    w = vocabulary(8, 12)
+    docs, places = [], [(a, b) for a in range(12) for b in range(a + 1, 12)]
+    for k, (a, b) in enumerate(places):
+        d = w[:]
+        d[a], d[b] = "one", "two"
+        docs.append((k, "before " + " ".join(d) + " after"))
+    three = w[:]
+    three[0] = three[1] = three[6] = "other"
+    docs.append((900, " ".join(three)))
+    for block in (100_000, 0):
+        got = leakage.leaks(frame(spark, docs), frame(spark, [(7, " ".join(w))], "item_id"), block).collect()
+        assert {r.doc_id for r in got} == set(range(len(places))) and all((r.overlap_words, r.matched_words) == (12, 10) for r in got)
+
+
+def test_leaks_alike_by_join(spark):
+    docs, items = leak_case()
+    a, b = (sorted(map(tuple, leakage.leaks(frame(spark, docs), frame(spark, items, "item_id"), block).distinct().collect())) for block in (100_000, 0))
+    assert a == b and len(a) > 40
+
+
 def test_no_leaks(spark):
     docs, items = frame(spark, [(1, "a b c")]), frame(spark, [(7, "a b c")], "item_id")
     for d, i in ((docs, items), (docs.limit(0), items), (docs, items.limit(0))):
