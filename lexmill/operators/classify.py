@@ -57,7 +57,12 @@ def annotation_score(answer: Column) -> Column:
     return F.nullif(F.regexp_extract(T.strip(answer), "^([1-5])", 1), F.lit("")).cast("int")
 
 
+def labelled_lines(df: DataFrame, label: Column, *columns: str) -> DataFrame:
+    """(columns, line): training lines `__label__<label> <first line>`; blank first lines and null labels are left out."""
+    s = df.select(*columns, label.cast("string").alias("_label"), T.first_line(T.text(F.col("text"))).alias("_line"))
+    return s.where("_label is not null and _line <> ''").select(*columns, F.concat(F.lit("__label__"), F.col("_label"), F.lit(" "), F.col("_line")).alias("line"))
+
+
 def annotated_lines(df: DataFrame) -> DataFrame:
     """Training lines `__label__<score> <first line>` of (text, answer); answers without a score and blank lines are left out."""
-    s = df.select(annotation_score(F.col("answer")).alias("score"), T.first_line(T.text(F.col("text"))).alias("line"))
-    return s.where("score is not null and line <> ''").select(F.concat(F.lit("__label__"), F.col("score").cast("string"), F.lit(" "), F.col("line")).alias("line"))
+    return labelled_lines(df, annotation_score(F.col("answer")))

@@ -28,6 +28,12 @@ def unigram_scores(df: DataFrame) -> DataFrame:
     return df.select("doc_id").join(mean, "doc_id", "left").select("doc_id", F.round(F.coalesce("m", F.lit(C.NO_WORDS_LOG_PROB)), 6).alias("log_prob"))
 
 
+def training_lines(df: DataFrame, most: int | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, line): a line for each document, blank ones left out; with `most`, those of least key."""
+    s = df.select(key, T.strip(F.replace(T.text(F.col("text")), F.lit("\n"), F.lit(" "))).alias("line")).where("line <> ''")
+    return s.orderBy(key).limit(most) if most is not None else s
+
+
 def ngram_counts(texts: DataFrame, order: int = 3) -> DataFrame:
     """(n, gram, c, followers, kinds) of all runs of 1 to `order` words of (text), cut: how often each occurs, with how many words after it, and how many different ones; the model that perplexity() scores with.
 

@@ -225,9 +225,10 @@ def latest(checkpoints: DataFrame, validate: bool = True) -> DataFrame:
     return c.orderBy(F.desc("run_name"), F.desc_nulls_last("at"), F.desc(F.col("ckpt_kind") == "last"), F.desc("mtime"), "ckpt_name").limit(1).select("run_name", "ckpt_name", F.col("at").alias("step"))
 
 
-def batch_perplexity(losses: DataFrame) -> DataFrame:
-    """(loss, perplexity) as the mean of the means of batches; losses: batch_id, loss."""
-    m = losses.groupBy("batch_id").agg(F.avg("loss").alias("m")).agg(F.avg("m").alias("loss"))
+def batch_perplexity(losses: DataFrame, most: int | None = None) -> DataFrame:
+    """(loss, perplexity) as the mean of the means of batches; with `most`, of the first ones; losses: batch_id, loss."""
+    m = losses.groupBy("batch_id").agg(F.avg("loss").alias("m"))
+    m = (m.orderBy("batch_id").limit(most) if most is not None else m).agg(F.avg("m").alias("loss"))
     return m.select(F.round("loss", 6).alias("loss"), F.round(F.exp("loss"), 6).alias("perplexity"))
 
 

@@ -226,7 +226,19 @@ scalar("word_count", long(lambda c: F.size(T.words(c))), f"len({s_words(TXT)})")
 scalar("char_count", long(F.length), f"length({TXT})")
 scalar("code_status", status.code_status, s_code_status(TXT), **WEB)
 scalar("ellipsis_status", status.ellipsis_status, s_ellipsis(TXT), **WEB)
-scalar("label_training_line", lambda c: F.concat(F.lit("__label__prose "), T.first_line(c)), f"'__label__prose ' || {s_strip(f'string_split({TXT}, chr(10))[1]')}")
+_LABEL = "coalesce(lower(lang), 'unknown')"
+
+
+@add("label_training_line", f"select doc_id, '__label__' || {_LABEL} || ' ' || {s_strip(f'string_split({TXT}, chr(10))[1]')} line from documents where {s_strip(f'string_split({TXT}, chr(10))[1]')} <> ''")
+def _(spark, d):
+    return classify.labelled_lines(table(spark, d, "documents"), F.coalesce(F.lower("lang"), F.lit("unknown")), "doc_id")
+
+
+@add("lm_training_lines", f"select doc_id, line from (select doc_id, {s_strip(f'replace({TXT}, chr(10), chr(32))')} line from documents) where line <> '' order by doc_id limit 300")
+def _(spark, d):
+    return lm.training_lines(table(spark, d, "documents"), 300)
+
+
 scalar("lm_training_line", lambda c: T.strip(F.replace(c, F.lit("\n"), F.lit(" "))), s_strip(f"replace({TXT}, chr(10), ' ')"))
 scalar("html_unescape_density", r6(lambda c: T.html_density(T.strip_html(c))), f"round({s_density(s_html(TXT))}, 6)", **WEB)
 
@@ -753,6 +765,12 @@ def _(spark, d):
     return runs.early_stop(metrics(spark, d)).withColumn("stop_line", F.col("stop_line").cast("double"))
 
 
+@add("early_batches_loss", _RUN + f" select round(avg(a), 6) loss, round(exp(avg(a)), 6) perplexity from (select avg(x) a from (select {s_nan('train_loss')} x, line_no // 20 b from m where record_type = 'step') where x is not null group by b order by b limit 20)")
+def _(spark, d):
+    m = runs.lines(metrics(spark, d)).where("record_type = 'step'").select(F.floor(F.col("line_no") / 20).alias("batch_id"), runs.nan_free("train_loss").alias("loss"))
+    return runs.batch_perplexity(m.where("loss is not null"), 20)
+
+
 def s_last(n):
     return f"(partition by run_name order by line_no rows {n - 1} preceding)"
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +35,21 @@ def corpus(spark: SparkSession, root: str, size: str = "full", names: dict[str,
     return spark.read.parquet(f"{root}/{names[size]}.parquet")
 
 
+def held_out(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(item_id, text, split_name) of all splits by name -> path; a missing one is warned of and left out, none at all is an error."""
+    found = None
+    for name, path in sorted(paths.items()):
+        try:
+            d = spark.read.parquet(path).select("item_id", "text", F.lit(name).alias("split_name"))
+        except AnalysisException:
+            warnings.warn(f"no held-out split {name!r} at {path}", stacklevel=2)
+            continue
+        found = d if found is None else found.unionByName(d)
+    if found is None:
+        raise FileNotFoundError("none of the held-out splits is there")
+    return found
+
+
 def cached_subset(spark: SparkSession, root: str, tokens: int, seed: int, make: Callable[[], DataFrame]) -> DataFrame:
     """The subset for a token budget and seed: read if it was written before, else made and written in files of SHARD_DOCS rows."""
     path = f"{root}/subset-{tokens}-seed{seed}"

@@ -15,6 +15,7 @@ from lexmill.functions.python import nfc, unescape
 from lexmill.operators import classify, dedup, lm, packing, runs, sampling, signals, status, training, trials
 from lexmill.plans import components, pipeline, stage
 from lexmill.plans.prefix import running_total
+from lexmill.sources import files
 
 
 def one(df, *columns):
@@ -198,3 +199,12 @@ def test_checkpoints_are_dropped(spark, tmp_path):
 
 def test_word_tokens(spark, docs):
     assert one(packing.word_lengths(docs("a b", None)).orderBy("doc_id"), "n_tokens") == [3, 1]
+
+
+def test_held_out_splits(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "item_id bigint, text string").write.parquet(str(tmp_path / "a"))
+    with pytest.warns(UserWarning, match="'b'"):
+        got = files.held_out(spark, {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")})
+    assert one(got, "item_id", "text", "split_name") == [(1, "x", "a")]
+    with pytest.raises(FileNotFoundError), pytest.warns(UserWarning):
+        files.held_out(spark, {"b": str(tmp_path / "b")})
