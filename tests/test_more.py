@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexmill import config as C
 from lexmill.functions import text as T
 from lexmill.functions.python import nfc, unescape
-from lexmill.operators import classify, dedup, lm, packing, runs, sampling, signals, status, training, trials
+from lexmill.operators import classify, decontaminate, dedup, lm, packing, runs, sampling, signals, status, training, trials
 from lexmill.plans import components, pipeline, stage
 from lexmill.plans.prefix import running_total
 from lexmill.sources import files
@@ -208,3 +208,14 @@ def test_held_out_splits(spark, tmp_path):
     assert one(got, "item_id", "text", "split_name") == [(1, "x", "a")]
     with pytest.raises(FileNotFoundError), pytest.warns(UserWarning):
         files.held_out(spark, {"b": str(tmp_path / "b")})
+
+
+def test_char_overlap_alike(spark, docs):
+    r = random.Random(9)
+    texts = ["".join(r.choices("abcdé 😀", k=r.choice([5, 13, 14, 60]))) for _ in range(40)]
+    d, items = docs(*texts, None, "", texts[3] * 3), docs(*(t[2:30] for t in texts[::3]), None, key="item_id")
+    a, b = (sorted(map(tuple, decontaminate.char_overlap(d, items, limit).collect())) for limit in (10**6, 0))
+    grams = lambda t: {t[k : k + 13] for k in range(len(t) - 12)}
+    known = set().union(*(grams((t[2:30]).lower().strip()) for t in texts[::3]))
+    assert a == b and [(n, m) for _, n, m, *_ in a] == [(len(grams(t)), len(grams(t) & known)) for t in ((t or "").lower().strip() for t in [*texts, None, "", texts[3] * 3])]
+    assert decontaminate.char_overlap(d, items.limit(0)).where("n_matched > 0").count() == 0
