@@ -58,3 +58,29 @@ def test_empty(spark):
     assert mixing.Mix(d.limit(0), t).documents().count() == 0
     assert mixing.Mix(d, t.limit(0)).documents().count() == mixing.found(d, t.limit(0)).count() == 0
     assert mixing.found(d.limit(0), t).count() == 0
+
+
+def test_found_by_the_contest(spark, monkeypatch):
+    # Without the quotients nothing is unreachable; with them the one token too much decides.
+    d = spark.createDataFrame([(k, "a" if k < 60 else "b", "word " * 10) for k in range(100)], "doc_id bigint, source string, text string")
+    total = sum(r.n_tokens for r in mixing.token_counts(d).collect())
+    rare = total * 40 // 100
+    for asked, want in ((rare, set()), (rare + 1, {"b"})):
+        t = spark.createDataFrame([("a", (total - asked) / total, 5), ("b", asked / total, 1)], "source string, target_share double, max_repeats int")
+        assert {r.source for r in mixing.found(d, t).collect()} == want
+    monkeypatch.setattr(mixing, "apportion", lambda weights, seats, caps: dict.fromkeys(weights, 0))
+    assert mixing.found(d, t).count() == 0
+
+
+def test_many_documents_in_buckets(spark):
+    # The mix has each source's tokens within half a document a shard, whole documents only, and doesn't depend on partitions.
+    r = random.Random(4)
+    d = spark.createDataFrame([(k, r.choice("aaab"), "word " * r.randint(1, 30)) for k in range(3000)], "doc_id bigint, source string, text string")
+    t = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 4)], "source string, target_share double, max_repeats int")
+    m = mixing.Mix(d, t, block_tokens=32)
+    docs = m.documents().collect()
+    for s in "ab":
+        want = sum(q for k, _, q, _ in m.quota if k == s)
+        assert abs(sum(x.n_tokens * x.copies for x in docs if x.source == s) - want) <= mixing.SHARDS * 16
+    assert len({x.doc_id for x in docs}) == len(docs) and len({x.copies for x in docs if x.source == "b"}) == 2
+    assert sorted(map(tuple, mixing.Mix(d.repartition(7), t, block_tokens=32).documents().collect())) == sorted(map(tuple, docs))
