@@ -15,7 +15,7 @@ from lexmill.functions.labels import NAMES, UNKNOWN
 from lexmill.functions.python import nfc
 from lexmill.operators import classify, decontaminate, dedup, lm, packing, runs, sampling, signals, status, training, trials
 from lexmill.plans import pipeline
-from lexmill.plans.stage import spread
+from lexmill.plans.stage import cut, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -553,6 +553,18 @@ def _(spark, d):
     return curation(spark, d).funnel(tokens=False)
 
 
+# The same over the tokens of the public vocabulary, which SQL doesn't have.
+def bpe_lengths(spark, d):
+    return cut(packing.tokenize(table(spark, d, "documents")).select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens")))
+
+
+for _name, _of in {
+    "token_offsets": packing.offsets, "train_val_split": packing.split, "pack_chunks": packing.chunks, "min_tokens_impact": packing.cutoffs, "length_histogram": packing.histogram,
+    "token_percentiles": signals.percentiles, "token_extrapolation": signals.extrapolated_tokens,
+}.items():
+    QUERIES[f"bpe_{_name}"] = lambda spark, d, of=_of: of(bpe_lengths(spark, d))
+
+
 @add("funnel_to_tokens")
 def _(spark, d):
     return curation(spark, d).funnel()

@@ -219,3 +219,22 @@ def test_char_overlap_alike(spark, docs):
     known = set().union(*(grams((t[2:30]).lower().strip()) for t in texts[::3]))
     assert a == b and [(n, m) for _, n, m, *_ in a] == [(len(grams(t)), len(grams(t) & known)) for t in ((t or "").lower().strip() for t in [*texts, None, "", texts[3] * 3])]
     assert decontaminate.char_overlap(d, items.limit(0)).where("n_matched > 0").count() == 0
+
+
+def test_packing_of_real_tokens(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizers = pytest.importorskip("public_tokenizers")
+    r = random.Random(12)
+    texts = [" ".join(r.choices(["alpha", "beta", "gamma", "naïve", "\n", "12"], k=r.randint(0, 60))) for _ in range(50)] + [None]
+    t = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    ids = [[*t.encode(x or "", add_special_tokens=False).ids, 50256] for x in texts]
+    got = packing.tokenize(docs(*texts))
+    assert dict(one(got, "doc_id", "input_ids")) == dict(enumerate(ids))
+    lengths, n = got.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens")), [len(x) for x in ids]
+    assert dict(one(packing.offsets(lengths), "doc_id", "start")) == {k: sum(n[:k]) for k in range(len(n))}
+    config, size, val = C.Config(context_length=31, val_ratio=0.2), 32, max(1, int(sum(n) * 0.2))
+    owner = [k for k, x in enumerate(n) for _ in range(x)]
+    want = {(s, k): (p[k * size], p[(k + 1) * size - 1], len(set(p[k * size : (k + 1) * size]))) for s, p in (("val", owner[:val]), ("train", owner[val:])) for k in range(len(p) // size)}
+    assert {(a, b): c for a, b, *c in map(tuple, packing.chunks(lengths, config).select("split", "chunk", "first_doc", "last_doc", "n_docs").collect())} == {k: list(v) for k, v in want.items()}
+    assert {s: (a, b) for s, a, b in one(packing.split(lengths, config), "split", "n_tokens", "n_chunks")} == {"val": (val, val // size), "train": (sum(n) - val, (sum(n) - val) // size)}
