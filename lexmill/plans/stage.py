@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,25 @@ def drop_checkpoints(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_released = 0.0
+
+
+def release(spark: SparkSession, every: float = 3.0) -> None:
+    """Let Spark remove the shuffle files of frames that nobody holds any more, at most once in `every` seconds.
+
+    Its cleaner waits for the garbage collector of the driver, which may not run for hours while the executors' disks fill.
+    """
+    global _released
+    if time.monotonic() - _released >= every:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there; survives the loss of executors."""
+    """Write df to the shared checkpoint folder and go on from there; survives the loss of executors. What earlier cuts have shuffled is released."""
     ensure_checkpoint_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
