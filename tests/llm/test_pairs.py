@@ -280,6 +280,23 @@ def test_random_records_small_cells(spark):
         assert {tuple(r) for r in neardup.found(frame(spark, docs, "row_id"), SMALL).collect()} == want
 
 
+def test_blocks_are_bounded(spark):
+    # A passage in every record: blocks stay small, what is written grows with the records and not with the cells, a bounded number of matches is counted at once.
+    passage, written, z = " ".join(vocabulary(81, 30)), [], neardup.Sizes(part=8_000, probed=100, hot=50, probing=7)
+    for size in (150, 600):
+        docs = [(k, " ".join(vocabulary(1000 + k // 2, 40)) + f" {passage} {k}") for k in range(size)]
+        k = neardup.Links(frame(spark, docs, "row_id"), z)
+        assert {(r.a, r.b) for r in k.links.collect()} == {(j, j + 1) for j in range(0, size, 2)}
+        reps, sketch, at, _ = k.plan
+        rows = neardup.blocks_of(neardup.postings(reps, sketch, at, z), at[2]).collect()
+        assert at[2] >= size // 90 and {r.block for r in rows} == set(range(at[2]))
+        for r in rows:
+            ids, need = (neardup._unpack(b, d) for b, d in zip(neardup._split(bytes(r.records), 2), ("int64", "uint32")))
+            assert len(ids) == len(need) <= 130
+        written.append(sum(len(r.records) + len(r.probing) + len(r.met) for r in rows))
+    assert written[1] <= 5 * written[0]
+
+
 def test_evenly_edited(spark):
     # Common words, and a substitution every 6 to 16 words: no long run of words is shared. Among ten times as many other records.
     r, docs = random.Random(41), []
