@@ -12,7 +12,7 @@
    character is shared if such a window covers it; the windows of a document are merged to maximal stretches.
 
 No pairs are formed, so a span in a third of all documents costs no more than any other: groups are reduced to the
-least and the greatest document before and after the shuffle.
+least and the greatest document before and after the shuffle (in step 4 after it).
 
 Null texts and texts under LEAST characters share nothing. Equal doc_id are one document: runs repeated only within
 it do not count. Positions count code points.
@@ -24,6 +24,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexmill.llm.common import map_texts, mix
 from lexmill.plans.stage import cut, semi_join
@@ -228,7 +229,9 @@ def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
         return cols
 
     last = window_rows(docs, places, least, "doc_id bigint, h1 bigint, h2 bigint, place int", exact)
-    hot = last.join(shared_keys(last, "h1", "h2"), ["h1", "h2"], "left_semi")
+    # These rows are the most, so they are shuffled once, with their documents, instead of twice; a digest's rows are sorted with spilling.
+    alike = Window.partitionBy("h1", "h2")
+    hot = last.withColumn("lo", F.min("doc_id").over(alike)).withColumn("hi", F.max("doc_id").over(alike)).where("lo <> hi")
     per = hot.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("p"))
     # A stretch begins at a place more than `least` after the one before, and ends `least` after its last place.
     first = F.filter(F.col("p"), lambda x, i: (i == 0) | (x - F.element_at("p", F.greatest(i, F.lit(1))) > least))

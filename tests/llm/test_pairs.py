@@ -162,6 +162,12 @@ def test_no_spans(spark):
         spans.spans(frame(spark, [(1, "a")]), 50)
 
 
+def test_windows_shuffled_once(spark):
+    # The windows of 400 characters are most of what problem 8 shuffles.
+    plan = spans.spans(frame(spark, span_case(1)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(h1#") == 1
+
+
 # ---- near-duplicates -------------------------------------------------------------------------------------------------
 def brute_pairs(docs):
     sets = {}
