@@ -141,3 +141,14 @@ def test_subjects(spark, tables):
     assert subjects.found(records, raters.limit(0), areas, labels).count() == 0
     shares = [r.word_share for r in subjects.composition(records, raters, areas, labels).collect()]
     assert sum(shares) == pytest.approx(1, abs=1e-4)
+
+
+def test_subjects_of_all_labelled(spark, tables):
+    # A word that stands in many labelled records of one subject and language is counted in all of them.
+    rows, _, labels, _, areas = tables
+    many = [(k, t + " Quokka.", g, s) for k, t, g, s in corpus(900, 9) if g == "en"]
+    records = spark.createDataFrame([(k, t) for k, t, *_ in many], "row_id bigint, text string")
+    raters = spark.createDataFrame([(k, "law", "x") for k, *_ in many], "row_id bigint, subject string, rater string")
+    labelled = subjects.rated(records, raters, ["Science", "food", "law"], language.Labeller(language.train(records, labels)))
+    got = {w: (n, x.tolist()) for w, n, x, _ in subjects.summed(labelled, 3, None)[subjects.WORD]}
+    assert len(many) > 100 and got["quokka"] == (len(many), [0, 0, len(many)])
