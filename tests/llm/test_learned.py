@@ -152,3 +152,50 @@ def test_subjects_of_all_labelled(spark, tables):
     labelled = subjects.rated(records, raters, ["Science", "food", "law"], language.Labeller(language.train(records, labels)))
     got = {w: (n, x.tolist()) for w, n, x, _ in subjects.summed(labelled, 3, None)[subjects.WORD]}
     assert len(many) > 100 and got["quokka"] == (len(many), [0, 0, len(many)])
+
+
+def test_subjects_split_once(spark, tables):
+    # Texts of labelled records are read for the first round and to number their words, not once a round and model.
+    _, records, labels, raters, areas = tables
+    names = ["Science", "food", "law"]
+    labelled = subjects.rated(records, raters, names, language.Labeller(language.train(records, labels)))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    m = subjects.train(labelled.mapInArrow(counted, labelled.schema), names)
+    assert 0 < read.value <= 2 * labelled.count()
+    assert m.share.shape == (3,) and set(m.share.tolist()) <= set(subjects.SHARES)
+
+
+def test_reader():
+    # One reading ends sentences as language.TOKEN does and passages as residue.TOKEN does.
+    class Echo:
+        def __init__(self):
+            self.words, self.at, self.n = [], self, 0
+
+        def get(self, t, _=0):
+            self.words.append(t)
+            return len(self.words) - 1
+
+        index = get
+
+        def decided(self, ids, owner, n):
+            out = [[] for _ in range(n)]
+            for k, o in zip(ids.tolist(), owner.tolist()):
+                out[o].append(self.words[k] if k >= 0 else "|")
+            return out
+
+        areas = decided
+
+    r = random.Random(3)
+    texts = ["", "A.", "One. Two: three.\nFour", 'He said "no." Then: 5. \n 6.', "x_y z… (a.) 7: 8.\n9 ß:\n\nÉ"]
+    texts += ["".join(r.choice("ab1É.:!…\"» \n\t\r_,") for _ in range(60)) for _ in range(400)]
+    ends = lambda pattern, t: [[w for w in s.split() if w] for s in " ".join(x if x[0].isalnum() else "|" for x in pattern.findall(t.lower())).split("|") if s.strip()]
+    split = lambda xs: [s.split() for s in " ".join(xs).split("|") if s.strip()]
+    own, its = subjects.Reader(Echo(), Echo()).read(texts)
+    assert [split(x) for x in own] == [ends(language.TOKEN, t) for t in texts]
+    assert [split(x) for x in its] == [ends(residue.TOKEN, t) for t in texts]
