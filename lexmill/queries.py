@@ -613,7 +613,7 @@ _CORR = " union all ".join(f"select {q(a)} a, {q(b)} b, round(case when isnan(co
 
 @add("signal_correlation", f"with s as materialized ({_SIGNALS}) {_CORR}")
 def _(spark, d):
-    return signals.correlations(signals.signals(table(spark, d, "documents")))
+    return signals.correlations(signals.signals(table(spark, d, "documents")), signals.SIGNALS)
 
 
 @add("least_varied_documents", f"with s as materialized ({_SIGNALS}) select doc_id, ttr from s order by ttr, doc_id limit 10")

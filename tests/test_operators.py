@@ -138,6 +138,15 @@ def test_signals(spark, docs):
     assert {r.tag: r.n for r in signals.boilerplate_counts(docs("Title: x\nURL: y\n*** start of a")).collect()} == {"title:": 1, "url:": 1, "*** start of": 1}
 
 
+def test_correlations_of_the_matrix_or_of_asked_columns(spark, docs):
+    sig = signals.signals(docs("AB c. D e.", "x y"))
+    got = {(r.a, r.b) for r in signals.correlations(sig).collect()}
+    assert len(got) == 36 and not any("sentence" in c for pair in got for c in pair)
+    assert signals.correlations(sig, signals.SIGNALS).count() == 55
+    r = signals.correlations(sig, ("sentences", "words_per_sentence")).collect()
+    assert [(x.a, x.b, x.r) for x in r] == [("sentences", "words_per_sentence", None)]
+
+
 def test_unigram(spark, docs):
     got = {r.doc_id: r.log_prob for r in lm.unigram_scores(docs("a a b", "", None)).collect()}
     assert got[0] == pytest.approx((2 * math.log(3 / 5) + math.log(2 / 5)) / 3, abs=1e-6) and got[1] == got[2] == -20
